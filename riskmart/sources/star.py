@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,22 +25,42 @@ TABLES = {
 
 @dataclass(frozen=True)
 class Star:
-    """The six tables every operator works on."""
+    """The six tables every operator works on.
 
-    fact: DataFrame
-    customer: DataFrame
-    account: DataFrame
-    merchant: DataFrame
-    location: DataFrame
-    date: DataFrame
+    ``load`` turns a table name into a DataFrame; a table that no query names is
+    never loaded.
+    """
+
+    load: Callable[[str], DataFrame]
+
+    @cached_property
+    def fact(self) -> DataFrame:
+        return self.load("fact_transactions")
+
+    @cached_property
+    def customer(self) -> DataFrame:
+        return self.load("dim_customer")
+
+    @cached_property
+    def account(self) -> DataFrame:
+        return self.load("dim_account")
+
+    @cached_property
+    def merchant(self) -> DataFrame:
+        return self.load("dim_merchant")
+
+    @cached_property
+    def location(self) -> DataFrame:
+        return self.load("dim_location")
+
+    @cached_property
+    def date(self) -> DataFrame:
+        return self.load("dim_date")
 
 
 def read_star(spark: SparkSession, path: str) -> Star:
     """The star stored below ``path``, one Parquet folder per table."""
-    return Star(**{
-        attribute: spark.read.schema(schema).parquet(f"{path}/{table}")
-        for table, (attribute, schema) in TABLES.items()
-    })
+    return Star(lambda table: spark.read.schema(TABLES[table][1]).parquet(f"{path}/{table}"))
 
 
 def write_star(star: Star, path: str, mode: str = "errorifexists") -> None:

@@ -6,6 +6,8 @@ their oracles start from one and the same mapping (``FIXTURES.md`` explains it).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from riskmart.sources.star import TABLES, Star, conform
@@ -52,33 +54,40 @@ select distinct year(tdate) * 10000 + month(tdate) * 100 + day(tdate) as date_ke
  'Q' || cast(quarter(tdate) as string) as quarter_name, substr(dayname(tdate), 1, 3) as day_of_week, substr(dayname(tdate), 1, 3) in ('Sat', 'Sun') as is_weekend from ev""",
 }
 
-#: the tables each definition reads
+#: the definitions each table is built on, in order, and the files it starts from
 READS = {
-    "ev": ("events",),
-    "ev_late": ("ev",),
-    "fact_transactions": ("ev_late",),
-    "dim_customer": ("customer",),
-    "dim_account": ("customer",),
-    "dim_merchant": ("part",),
-    "dim_location": ("nation", "region"),
-    "dim_date": ("ev",),
+    "fact_transactions": (["ev", "ev_late"], ["events"]),
+    "dim_customer": ([], ["customer"]),
+    "dim_account": ([], ["customer"]),
+    "dim_merchant": ([], ["part"]),
+    "dim_location": ([], ["nation", "region"]),
+    "dim_date": (["ev"], ["events"]),
+}
+
+FILES = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string,"
+              " value double, props string",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double,"
+                " c_mktsegment string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int,"
+            " p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
 }
 
 
 def star(spark: SparkSession, sf_dir: str) -> Star:
     """The star over the Parquet files in ``sf_dir``; nothing is read yet."""
 
-    def table(name: str) -> DataFrame:
-        if name not in MAPPING:
-            return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        inputs = {source: table(source) for source in READS[name]}
-        text = MAPPING[name].replace("MKTS", "make_timestamp_ntz")
-        for source in inputs:
-            text = text.replace(f"from {source}", f"from {{{source}}}")
-            text = text.replace(f"join {source}", f"join {{{source}}}")
-        return spark.sql(text, **inputs)
+    def load(table: str) -> DataFrame:
+        definitions, files = READS[table]
+        shared = ",".join(f"{name} as ({MAPPING[name]})" for name in definitions)
+        text = (f"with {shared} " if shared else "") + MAPPING[table]
+        text = text.replace("MKTS", "make_timestamp_ntz")
+        inputs = {}
+        for name in files:
+            inputs[name] = spark.read.schema(FILES[name]).parquet(f"{sf_dir}/{name}.parquet")
+            text = re.sub(rf"\b(from|join) {name}\b", rf"\1 {{{name}}}", text)
+        return conform(spark.sql(text, **inputs), TABLES[table][1])
 
-    return Star(**{
-        attribute: conform(table(name), schema)
-        for name, (attribute, schema) in TABLES.items()
-    })
+    return Star(load)
