@@ -80,14 +80,15 @@ def rapid_pairs(
     Where the id is a key of the table, ``ids_unique=True`` saves that second count.
     """
     rows = base.select(
-        *OWNER, "transaction_id", "transaction_datetime", "amount_usd",
+        *OWNER, "transaction_id", "transaction_datetime",
+        (F.col("amount_usd") * 100).cast("long").alias("cents"),
         minute_number(F.col("transaction_datetime")).alias("minute"),
     ).dropna(subset=[*OWNER, "transaction_id", "transaction_datetime"])
 
     minutes = _per_minute(rows, OWNER)
     if ids_unique:
         minutes = minutes.withColumn("only_id", F.lit(None).cast("string"))
-        totals = _customer_totals(minutes, max_minutes)
+        totals = _pair_totals(minutes, max_minutes)
     else:
         same_id = [*OWNER, "transaction_id"]
         repeated = (
@@ -101,101 +102,102 @@ def rapid_pairs(
         single = id_minutes.select(
             *OWNER, "minute", "rows", F.col("transaction_id").alias("only_id"))
         minutes = minutes.join(single, [*OWNER, "minute", "rows"], "left")
-        totals = _customer_totals(minutes, max_minutes).join(
-            _pair_sums(id_minutes, same_id, max_minutes).groupBy("customer_key").agg(
-                *_totals("same_")), "customer_key", "left")
-        for name in ("pairs", "gaps", "volume", "volume_pairs"):
+        taken_off = _pairs_per_minute(id_minutes, same_id, max_minutes).groupBy(
+            "customer_key").agg(*_sums("same_"))
+        totals = _pair_totals(minutes, max_minutes).join(taken_off, "customer_key", "left")
+        for name in ("pairs", "gaps", "cents", "priced_pairs"):
             totals = totals.withColumn(
                 name, F.col(name) - F.coalesce(f"same_{name}", F.lit(0)))
 
-    rapid = totals.select(
-        "customer_key",
-        F.call_function("div", F.col("pairs"), F.lit(2)).alias("rapid_pair_count"),
-        "min_gap_minutes", "gaps",
-        F.when(F.col("volume_pairs") > 0, ratio(F.col("volume"), F.lit(2), 2))
-        .alias("approx_volume_usd"),
-    ).filter(F.col("rapid_pair_count") >= max(min_pairs, 1))
+    rapid = totals.filter(F.col("pairs") >= max(min_pairs, 1))
     return _named(rapid, customers).select(
         "customer_key", "full_name", "country", "kyc_status",
-        "rapid_pair_count", "min_gap_minutes",
-        _mean_gap("gaps", "rapid_pair_count").alias("avg_gap_minutes"),
-        "approx_volume_usd",
+        F.col("pairs").alias("rapid_pair_count"), "min_gap_minutes",
+        _mean_gap("gaps", "pairs").alias("avg_gap_minutes"),
+        F.when(F.col("priced_pairs") > 0, ratio(F.col("cents"), F.lit(200), 2))
+        .alias("approx_volume_usd"),
     ).transform(first_rows, n, F.desc("rapid_pair_count"), F.asc("customer_key"))
 
 
 def _per_minute(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per key and minute: what is needed to count pairs of different instants.
 
-    ``rows`` and ``volume`` are plain totals, ``amounts`` the non-null amounts.
-    The ``tied_*`` columns hold the part of their products that belongs to rows
-    of the same instant, which form no pair.
+    ``rows`` and ``cents`` are plain totals, ``priced`` the rows with an amount.
+    Rows of one instant form no pair with each other; the ``tied_*`` columns hold
+    their part of the products. Cents are whole numbers, so sums stay exact.
     """
     instants = rows.groupBy(*keys, "minute", "transaction_datetime").agg(
         F.count("*").alias("rows"),
-        F.count("amount_usd").alias("amounts"),
-        F.coalesce(F.sum("amount_usd"), F.lit(0)).alias("volume"),
+        F.count("cents").alias("priced"),
+        F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"),
     )
+    tied_cents = F.when(F.col("priced") > 1, F.col("cents") * whole(F.col("priced") - 1))
     return instants.groupBy(*keys, "minute").agg(
         F.sum("rows").alias("rows"),
-        F.sum("amounts").alias("amounts"),
-        F.sum("volume").alias("volume"),
+        F.sum("priced").alias("priced"),
+        F.sum("cents").alias("cents"),
         F.sum(F.col("rows") * F.col("rows")).alias("tied_rows"),
-        F.sum(F.col("amounts") * F.col("amounts")).alias("tied_amounts"),
-        F.sum(F.col("volume") * whole(F.col("amounts"))).alias("tied_volume"),
+        F.sum(F.col("priced") * F.col("priced")).alias("tied_priced"),
+        (F.sum("cents") + F.coalesce(F.sum(tied_cents), F.lit(0))).alias("tied_cents"),
     )
 
 
-def _pair_sums(minutes: DataFrame, keys: list[str], max_minutes: int) -> DataFrame:
-    """Add the pairs that end in each minute (counted twice) and their sums."""
+def _pairs_per_minute(
+    minutes: DataFrame, keys: list[str], max_minutes: int, *extra: Column
+) -> DataFrame:
+    """The pairs whose later row falls in each minute; minutes without pairs are left out."""
     earlier = Window.partitionBy(*keys).orderBy("minute").rangeBetween(-max_minutes, -1)
 
     def before(value: Column) -> Column:
         return F.coalesce(F.sum(value).over(earlier), F.lit(0))
 
-    rows, amounts, volume = F.col("rows"), F.col("amounts"), F.col("volume")
+    rows, priced, cents = F.col("rows"), F.col("priced"), F.col("cents")
+    inside = F.call_function("div", rows * rows - F.col("tied_rows"), F.lit(2))
+    priced_inside = F.call_function("div", priced * priced - F.col("tied_priced"), F.lit(2))
     return (
-        minutes
-        .withColumn("rows_before", before(rows))
-        .withColumn("amounts_before", before(amounts))
-        .withColumn("volume_before", before(volume))
-        .withColumn("minutes_before", before(rows * F.col("minute")))
-        .withColumn("pairs", rows * rows - F.col("tied_rows") + rows * F.col("rows_before") * 2)
-        .withColumn("gaps", rows * (F.col("minute") * F.col("rows_before")
-                                    - F.col("minutes_before")))
-        .withColumn("volume_pairs", amounts * amounts - F.col("tied_amounts")
-                    + amounts * F.col("amounts_before") * 2)
-        .withColumn("pair_volume", volume * whole(amounts) - F.col("tied_volume")
-                    + volume * whole(F.col("amounts_before"))
-                    + F.col("volume_before") * whole(amounts))
+        minutes.select(
+            "*", *extra,
+            before(rows).alias("rows_before"),
+            before(priced).alias("priced_before"),
+            before(cents).alias("cents_before"),
+            before(rows * F.col("minute")).alias("minutes_before"))
+        .withColumn("pairs", inside + rows * F.col("rows_before"))
+        .filter("pairs > 0")
+        .withColumns({
+            "pairs_inside": inside,
+            "gaps": rows * (F.col("minute") * F.col("rows_before") - F.col("minutes_before")),
+            "priced_pairs": priced_inside + priced * F.col("priced_before"),
+            "pair_cents": cents * whole(priced) - F.col("tied_cents")
+            + cents * whole(F.col("priced_before")) + F.col("cents_before") * whole(priced),
+        })
     )
 
 
-def _totals(prefix: str = "") -> list[Column]:
+def _sums(prefix: str = "") -> list[Column]:
     return [
         F.sum("pairs").alias(f"{prefix}pairs"),
         F.sum("gaps").alias(f"{prefix}gaps"),
-        F.sum("pair_volume").alias(f"{prefix}volume"),
-        F.sum("volume_pairs").alias(f"{prefix}volume_pairs"),
+        F.sum("pair_cents").alias(f"{prefix}cents"),
+        F.sum("priced_pairs").alias(f"{prefix}priced_pairs"),
     ]
 
 
-def _customer_totals(minutes: DataFrame, max_minutes: int) -> DataFrame:
+def _pair_totals(minutes: DataFrame, max_minutes: int) -> DataFrame:
     """Pair sums per customer over all ids, and the smallest gap between different ids.
 
     The closest pair of different ids lies within one minute or in two neighbouring
     minutes with rows, unless all rows of both carry one and the same id.
     """
     by_time = Window.partitionBy(*OWNER).orderBy("minute")
-    gap = F.col("minute") - F.lag("minute").over(by_time)
-    same_id = F.coalesce(F.col("only_id") == F.lag("only_id").over(by_time), F.lit(False))
-    neighbours = (gap <= max_minutes) & ~same_id
-    inside = F.col("only_id").isNull() & (F.col("rows") * F.col("rows") > F.col("tied_rows"))
-    return (
-        _pair_sums(minutes, OWNER, max_minutes)
-        .withColumn("smallest_gap", F.when(inside, F.lit(0)).when(neighbours, gap))
-        .groupBy("customer_key")
-        .agg(*_totals(), F.min("smallest_gap").alias("min_gap_minutes"))
-    )
+    pairs = _pairs_per_minute(
+        minutes, OWNER, max_minutes,
+        (F.col("minute") - F.lag("minute").over(by_time)).alias("gap"),
+        F.lag("only_id").over(by_time).alias("only_id_before"))
+    one_id = F.coalesce(F.col("only_id") == F.col("only_id_before"), F.lit(False))
+    smallest = F.when(F.col("only_id").isNull() & (F.col("pairs_inside") > 0), F.lit(0)).when(
+        (F.col("gap") <= max_minutes) & ~one_id, F.col("gap"))
+    return pairs.withColumn("smallest_gap", smallest).groupBy("customer_key").agg(
+        *_sums(), F.min("smallest_gap").alias("min_gap_minutes"))
 
 
 def _mean_gap(total: str, count: str) -> Column:
