@@ -37,10 +37,10 @@ def takeover_profile(
 
     def period(name: str, condition) -> list:
         amount = F.when(condition, F.col("amount_usd"))
-        hour = F.when(condition, F.col("transaction_hour")).cast("decimal(20,0)")
+        hour = F.when(condition, F.col("transaction_hour"))
         return [
             average(F.sum(amount), F.count(amount)).alias(f"{name}_avg_spend"),
-            average(F.sum(hour), F.count(hour), 1).alias(f"{name}_avg_hour"),
+            ratio(F.sum(hour), F.count(hour), 1).alias(f"{name}_avg_hour"),
             F.count(F.when(condition, F.lit(1))).alias(f"{name}_txn_count"),
         ]
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskmart.functions.ladder import Rungs, ladder, matches
-from riskmart.functions.numeric import average, percent_of_count, ratio, whole
+from riskmart.functions.numeric import average, percent, ratio, whole
 from riskmart.functions.ranking import standings
 from riskmart.operators.profiling import CUTOFF
 from riskmart.operators.shared import share_of_total
@@ -57,7 +57,7 @@ def _match_sums(flag: str, matched: str, name: str) -> list[Column]:
 
 
 def _off_hours_rate() -> Column:
-    return percent_of_count(
+    return percent(
         F.col("off_hours_txns"), F.col("total_txns")).alias("off_hours_rate_pct")
 
 
@@ -73,7 +73,7 @@ def _spend_multiplier() -> Column:
 
 
 def _match_rate(name: str, alias: str) -> Column:
-    return percent_of_count(F.col(f"{name}_rows"), F.col(f"{name}_matched")).alias(alias)
+    return percent(F.col(f"{name}_rows"), F.col(f"{name}_matched")).alias(alias)
 
 
 def _shell_flags(merchants: DataFrame) -> DataFrame:
@@ -165,17 +165,20 @@ def scorecard(
 
 
 def watchlist(scored: DataFrame, tiers: Rungs = TIERS) -> DataFrame:
-    """Total score, tier and percentile (share of customers with a lower score)."""
+    """Total score, tier and percentile (share of customers with a lower score).
+
+    Left unordered: the list is stored and summarised, and whoever reads it orders
+    the part they read, which spares a global sort over all customers.
+    """
     total = sum((F.col(points) for points in POINTS[1:]), F.col(POINTS[0]))
     ranked = standings(scored.withColumn("total_risk_score", total), "total_risk_score")
-    ahead, others = whole(F.col("rows_ahead")), whole(F.col("rows_total") - 1)
+    ahead, others = F.col("rows_ahead"), F.col("rows_total") - 1
     return (
         ranked
         .withColumn("risk_tier", ladder(F.col("total_risk_score"), tiers, LOWEST_TIER))
         .withColumn("risk_percentile",
                     F.coalesce(ratio(ahead * 100, others, 1), F.lit(0)))
         .drop("rows_ahead", "rows_total")
-        .orderBy(F.desc("total_risk_score"), "customer_key")
     )
 
 
@@ -183,7 +186,7 @@ def tier_summary(listed: DataFrame, tiers: Rungs = TIERS) -> DataFrame:
     """Customers and scores per tier, highest tier first."""
     groups = listed.groupBy("risk_tier").agg(
         F.count("*").alias("customer_count"),
-        ratio(whole(F.sum("total_risk_score")), whole(F.count("*")), 1).alias("avg_score"),
+        ratio(F.sum("total_risk_score"), F.count("*"), 1).alias("avg_score"),
         F.min("total_risk_score").alias("min_score"),
         F.max("total_risk_score").alias("max_score"),
     )

@@ -201,7 +201,7 @@ def _pair_totals(minutes: DataFrame, max_minutes: int) -> DataFrame:
 
 
 def _mean_gap(total: str, count: str) -> Column:
-    return ratio(whole(F.col(total)), whole(F.col(count)), 1)
+    return ratio(F.col(total), F.col(count), 1)
 
 
 def _named(found: DataFrame, customers: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -11,83 +13,104 @@ from riskmart.operators import (
 from riskmart.sources import Star
 
 
-def _base(star: Star) -> DataFrame:
-    return foundation.flagged_base(star.fact)
+@dataclass(frozen=True)
+class Inputs:
+    """A star and what is derived from it for more than one query.
 
+    Results found in ``stored`` (by query name) are used instead of being derived again.
+    """
 
-def _stats(star: Star) -> DataFrame:
-    return foundation.portfolio_stats(star.fact)
+    star: Star
+    stored: Mapping[str, DataFrame] = field(default_factory=dict)
 
+    def _stored(self, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
+        return self.stored[name] if name in self.stored else derive()
 
-def _spine(star: Star) -> DataFrame:
-    return foundation.date_spine(star.date)
+    @cached_property
+    def base(self) -> DataFrame:
+        return foundation.flagged_base(self.star.fact)
 
+    @cached_property
+    def spine(self) -> DataFrame:
+        return foundation.date_spine(self.star.date)
 
-def _scored(star: Star) -> DataFrame:
-    return scoring.scorecard(
-        scoring.signals(_base(star), star.merchant, star.location), star.customer)
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self._stored(
+            "f2_portfolio_stats", lambda: foundation.portfolio_stats(self.star.fact))
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        signals = scoring.signals(self.base, self.star.merchant, self.star.location)
+        return scoring.scorecard(signals, self.star.customer)
 
-def _watchlist(star: Star) -> DataFrame:
-    return scoring.watchlist(_scored(star))
+    @cached_property
+    def watchlist(self) -> DataFrame:
+        return self._stored("q5_1_watchlist", lambda: scoring.watchlist(self.scored))
 
+    @cached_property
+    def summary(self) -> DataFrame:
+        return self._stored("q6_1_exec_summary", lambda: report.exec_summary(self.base))
 
-def _zscore(star: Star, **limits) -> DataFrame:
-    return anomaly.zscore_outliers(
-        _base(star), _stats(star), star.customer, star.merchant, star.location, **limits)
+
+def _pairs(d: Inputs, **limits) -> DataFrame:
+    return velocity.rapid_pairs(d.base, d.star.customer, **limits)
 
 
-def _takeover(star: Star, **limits) -> DataFrame:
-    return profiling.takeover_profile(_base(star), star.location, star.customer, **limits)
+def _gaps(d: Inputs, **limits) -> DataFrame:
+    return velocity.rapid_gaps(d.base, d.star.customer, **limits)
 
 
-def _freeze(star: Star, **limits) -> DataFrame:
-    return report.freeze_list(_base(star), star.customer, star.account, **limits)
+def _outliers(d: Inputs, **limits) -> DataFrame:
+    return anomaly.zscore_outliers(
+        d.base, d.stats, d.star.customer, d.star.merchant, d.star.location, **limits)
 
 
-def _pairs(star: Star, **limits) -> DataFrame:
-    return velocity.rapid_pairs(_base(star), star.customer, **limits)
+def _takeover(d: Inputs, **limits) -> DataFrame:
+    return profiling.takeover_profile(d.base, d.star.location, d.star.customer, **limits)
 
 
-def _gaps(star: Star, **limits) -> DataFrame:
-    return velocity.rapid_gaps(_base(star), star.customer, **limits)
+def _freeze(d: Inputs, **limits) -> DataFrame:
+    return report.freeze_list(d.base, d.star.customer, d.star.account, **limits)
 
 
 #: ``*_all`` are the lists without their top-n limit.
-QUERIES: dict[str, Callable[[Star], DataFrame]] = {
-    "f1_flagged_base": _base,
-    "f2_portfolio_stats": _stats,
-    "f3_date_spine": _spine,
-    "q1_1_portfolio_summary": lambda s: baseline.portfolio_summary(_base(s), _stats(s)),
-    "q1_2_channel_mix": lambda s: baseline.channel_mix(_base(s)),
-    "q1_3_monthly_trend": lambda s: baseline.monthly_trend(_base(s), _spine(s)),
-    "q1_4_kyc_distribution": lambda s: baseline.kyc_distribution(s.customer, _base(s)),
-    "q2_1_time_window": lambda s: anomaly.time_of_day_profile(_base(s)),
+QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
+    "f1_flagged_base": lambda d: d.base,
+    "f2_portfolio_stats": lambda d: d.stats,
+    "f3_date_spine": lambda d: d.spine,
+    "q1_1_portfolio_summary": lambda d: baseline.portfolio_summary(d.base, d.stats),
+    "q1_2_channel_mix": lambda d: baseline.channel_mix(d.base),
+    "q1_3_monthly_trend": lambda d: baseline.monthly_trend(d.base, d.spine),
+    "q1_4_kyc_distribution": lambda d: baseline.kyc_distribution(d.star.customer, d.base),
+    "q2_1_time_window": lambda d: anomaly.time_of_day_profile(d.base),
     "q2_2a_rapid_pairs": _pairs,
-    "q2_2a_rapid_pairs_all": lambda s: _pairs(s, n=None),
+    "q2_2a_rapid_pairs_all": lambda d: _pairs(d, n=None),
     "q2_2b_rapid_gaps": _gaps,
-    "q2_2b_rapid_gaps_all": lambda s: _gaps(s, n=None),
-    "q2_3_zscore_outliers": _zscore,
-    "q2_3_zscore_outliers_all": lambda s: _zscore(s, n=None),
-    "q2_4_daily_spikes": lambda s: anomaly.rolling_spikes(_base(s), _spine(s)),
+    "q2_2b_rapid_gaps_all": lambda d: _gaps(d, n=None),
+    "q2_3_zscore_outliers": _outliers,
+    "q2_3_zscore_outliers_all": lambda d: _outliers(d, n=None),
+    "q2_4_daily_spikes": lambda d: anomaly.rolling_spikes(d.base, d.spine),
     "q3_1_account_takeover": _takeover,
-    "q3_1_account_takeover_all": lambda s: _takeover(s, n=None),
-    "q3_2_geo_anomaly": lambda s: profiling.geo_mismatch(_base(s), s.customer, s.location),
-    "q4_1_merchant_risk": lambda s: exposure.merchant_risk(_base(s), s.merchant),
-    "q4_2_shell_flows": lambda s: exposure.shell_flows(_base(s), s.merchant, s.location),
-    "q4_3_channel_risk": lambda s: exposure.channel_risk(_base(s)),
-    "q4_4_country_exposure": lambda s: exposure.country_exposure(_base(s), s.location),
-    "s5_off_hours_signal": lambda s: scoring.off_hours_signal(_base(s)),
-    "s5_spend_spike_signal": lambda s: scoring.spend_spike_signal(_base(s)),
-    "s5_shell_signal": lambda s: scoring.shell_signal(_base(s), s.merchant),
-    "s5_geo_signal": lambda s: scoring.geo_signal(_base(s), s.location),
-    "s5_scored": _scored,
-    "q5_1_watchlist": _watchlist,
-    "q5_2_tier_summary": lambda s: scoring.tier_summary(_watchlist(s)),
-    "q6_1_exec_summary": lambda s: report.exec_summary(_base(s)),
-    "q6_2_exposure_by_type": lambda s: report.exposure_by_type(_base(s)),
-    "q6_3_fraud_trend": lambda s: report.fraud_trend(_base(s), _spine(s)),
+    "q3_1_account_takeover_all": lambda d: _takeover(d, n=None),
+    "q3_2_geo_anomaly": lambda d: profiling.geo_mismatch(
+        d.base, d.star.customer, d.star.location),
+    "q4_1_merchant_risk": lambda d: exposure.merchant_risk(d.base, d.star.merchant),
+    "q4_2_shell_flows": lambda d: exposure.shell_flows(
+        d.base, d.star.merchant, d.star.location),
+    "q4_3_channel_risk": lambda d: exposure.channel_risk(d.base),
+    "q4_4_country_exposure": lambda d: exposure.country_exposure(d.base, d.star.location),
+    "s5_off_hours_signal": lambda d: scoring.off_hours_signal(d.base),
+    "s5_spend_spike_signal": lambda d: scoring.spend_spike_signal(d.base),
+    "s5_shell_signal": lambda d: scoring.shell_signal(d.base, d.star.merchant),
+    "s5_geo_signal": lambda d: scoring.geo_signal(d.base, d.star.location),
+    "s5_scored": lambda d: d.scored,
+    "q5_1_watchlist": lambda d: d.watchlist,
+    "q5_2_tier_summary": lambda d: scoring.tier_summary(d.watchlist),
+    "q6_1_exec_summary": lambda d: d.summary,
+    "q6_2_exposure_by_type": lambda d: report.exposure_by_type(d.base),
+    "q6_3_fraud_trend": lambda d: report.fraud_trend(d.base, d.spine),
     "q6_4_freeze_list": _freeze,
-    "q6_4_freeze_list_all": lambda s: _freeze(s, n=None),
-    "q6_5_kpi_report": lambda s: report.kpi_report(report.exec_summary(_base(s)), _base(s)),
+    "q6_4_freeze_list_all": lambda d: _freeze(d, n=None),
+    "q6_5_kpi_report": lambda d: report.kpi_report(d.summary, d.base),
 }
