@@ -25,8 +25,7 @@ def run_all(
 ) -> dict[str, DataFrame]:
     """Write the named results below ``path`` and return them as read from there.
 
-    ``mode="ignore"`` keeps finished results, so that a run cut short goes on
-    where it stopped.
+    Files keep no order: sort what you read by the columns you look at.
     """
     wanted = list(names)
     stored: dict[str, DataFrame] = {}
