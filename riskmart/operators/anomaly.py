@@ -62,16 +62,17 @@ def zscore_outliers(
         .join(locations.select(
             "location_key", F.col("country").alias("transaction_country"),
             "is_high_risk_country"), "location_key")
+        .select(
+            "transaction_key", "transaction_id", "customer_key", "full_name",
+            "transaction_datetime", "transaction_type", "channel", "amount_usd",
+            F.round(mean, 2).alias("mean_amount"),
+            F.round(deviation, 2).alias("std_dev_amount"),
+            F.round(score.cast("decimal(30,12)"), 2).alias("z_score"),
+            "merchant_name", "merchant_category", "is_shell_merchant",
+            "transaction_country", "is_high_risk_country")
     )
-    return first_rows(rows, n, F.desc("amount_usd"), F.asc("transaction_key")).select(
-        "transaction_id", "customer_key", "full_name", "transaction_datetime",
-        "transaction_type", "channel", "amount_usd",
-        F.round(mean, 2).alias("mean_amount"),
-        F.round(deviation, 2).alias("std_dev_amount"),
-        F.round(score.cast("decimal(30,12)"), 2).alias("z_score"),
-        "merchant_name", "merchant_category", "is_shell_merchant",
-        "transaction_country", "is_high_risk_country",
-    )
+    return first_rows(
+        rows, n, F.desc("amount_usd"), F.asc("transaction_key")).drop("transaction_key")
 
 
 def rolling_spikes(

@@ -25,7 +25,7 @@ def plan_of(frame, ran=False):
     if ran:
         frame.collect()
     text = frame._jdf.queryExecution().executedPlan().toString()
-    return text.split("== Initial Plan ==")[0]
+    return text.split("\n+- == Initial Plan ==")[0]
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -79,3 +79,31 @@ def test_results_do_not_depend_on_broadcasts(spark, stored, name):
     finally:
         for key in names:
             spark.conf.unset(key)
+
+
+def test_distinct_counts_do_not_expand_rows(stored):
+    plan = plan_of(QUERIES["q1_1_portfolio_summary"](stored), ran=True)
+    assert "Expand" not in plan
+
+
+def test_outlier_bounds_are_computed_once(stored):
+    plan = plan_of(QUERIES["q2_3_zscore_outliers"](stored), ran=True)
+    assert len(set(re.findall(r"(?<!Reused)Subquery subquery#(\d+)", plan))) == 1
+    assert "ReusedSubquery" in plan
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if f"{n}_all" in QUERIES))
+def test_limited_lists_are_not_sorted_as_a_whole(stored, name):
+    plan = plan_of(QUERIES[name](stored))
+    assert "TakeOrderedAndProject" in plan
+    assert "Exchange rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_one_task_never_gets_single_rows(stored, name):
+    """What moves into one partition is an aggregate: partial results, groups or positions."""
+    lines = plan_of(QUERIES[name](stored)).split("\n")
+    for place, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            below = next(x for x in lines[place + 1:] if not re.search(r"\+- (Project|Filter)", x))
+            assert "Aggregate" in below, below
