@@ -60,7 +60,12 @@ class Star:
 
 def read_star(spark: SparkSession, path: str) -> Star:
     """The star stored below ``path``, one Parquet folder per table."""
-    return Star(lambda table: spark.read.schema(TABLES[table][1]).parquet(f"{path}/{table}"))
+
+    def load(table: str) -> DataFrame:
+        schema = TABLES[table][1]
+        return conform(spark.read.schema(schema).parquet(f"{path}/{table}"), schema)
+
+    return Star(load)
 
 
 def write_star(star: Star, path: str, mode: str = "errorifexists") -> None:

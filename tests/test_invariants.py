@@ -7,7 +7,7 @@ import pytest
 
 from riskmart.plans.investigation import REPORTS, run_all
 from riskmart.queries import QUERIES, Inputs
-from riskmart.sources import read_star, testdata, write_star
+from riskmart.sources import TABLES, read_star, testdata, write_star
 
 SF = "/root/testdata/sf0.001"
 D = Decimal
@@ -78,6 +78,16 @@ def test_a_stored_star_gives_the_same_results(spark, tmp_path, results):
             assert sorted(map(repr, map(tuple, found[name].collect()))) == expected, name
 
 
+def test_a_stored_star_keeps_the_schema(spark, tmp_path):
+    write_star(testdata.star(spark, SF), str(tmp_path / "star"))
+    stored = read_star(spark, str(tmp_path / "star"))
+    for attribute, schema in TABLES.values():
+        frame = getattr(stored, attribute)
+        assert [(f.name, f.dataType) for f in frame.schema] == [(f.name, f.dataType) for f in schema]
+    fact = testdata.star(spark, SF).fact
+    assert fact.exceptAll(stored.fact).count() == stored.fact.exceptAll(fact).count() == 0
+
+
 def test_stored_fact_is_split_by_month(spark, tmp_path):
     write_star(testdata.star(spark, SF), str(tmp_path / "star"))
     months = sorted(p.name for p in (tmp_path / "star" / "fact_transactions").glob("transaction_month=*"))
