@@ -164,26 +164,32 @@ def scorecard(
     )
 
 
+def tiered(scored: DataFrame, tiers: Rungs = TIERS) -> DataFrame:
+    """Total score and tier of every scored customer."""
+    total = sum((F.col(points) for points in POINTS[1:]), F.col(POINTS[0]))
+    return scored.withColumn("total_risk_score", total).withColumn(
+        "risk_tier", ladder(F.col("total_risk_score"), tiers, LOWEST_TIER))
+
+
 def watchlist(scored: DataFrame, tiers: Rungs = TIERS) -> DataFrame:
     """Total score, tier and percentile (share of customers with a lower score).
 
     Left unordered: the list is stored and summarised, and whoever reads it orders
     the part they read, which spares a global sort over all customers.
     """
-    total = sum((F.col(points) for points in POINTS[1:]), F.col(POINTS[0]))
-    ranked = standings(scored.withColumn("total_risk_score", total), "total_risk_score")
+    ranked = standings(tiered(scored, tiers), "total_risk_score")
     ahead, others = F.col("rows_ahead"), F.col("rows_total") - 1
-    return (
-        ranked
-        .withColumn("risk_tier", ladder(F.col("total_risk_score"), tiers, LOWEST_TIER))
-        .withColumn("risk_percentile",
-                    F.coalesce(ratio(ahead * 100, others, 1), F.lit(0)))
-        .drop("rows_ahead", "rows_total")
-    )
+    return ranked.withColumn(
+        "risk_percentile", F.coalesce(ratio(ahead * 100, others, 1), F.lit(0))
+    ).drop("rows_ahead", "rows_total")
 
 
 def tier_summary(listed: DataFrame, tiers: Rungs = TIERS) -> DataFrame:
-    """Customers and scores per tier, highest tier first."""
+    """Customers and scores per tier, highest tier first.
+
+    Reads a stored watchlist or, where there is none, ``tiered`` customers: the
+    percentile plays no part here.
+    """
     groups = listed.groupBy("risk_tier").agg(
         F.count("*").alias("customer_count"),
         ratio(F.sum("total_risk_score"), F.count("*"), 1).alias("avg_score"),

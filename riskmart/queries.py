@@ -48,6 +48,10 @@ class Inputs:
     def watchlist(self) -> DataFrame:
         return self._stored("q5_1_watchlist", lambda: scoring.watchlist(self.scored))
 
+    @cached_property
+    def tiered(self) -> DataFrame:
+        return self._stored("q5_1_watchlist", lambda: scoring.tiered(self.scored))
+
     @cached_property
     def summary(self) -> DataFrame:
         return self._stored("q6_1_exec_summary", lambda: report.exec_summary(self.base))
@@ -106,7 +110,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "s5_geo_signal": lambda d: scoring.geo_signal(d.base, d.star.location),
     "s5_scored": lambda d: d.scored,
     "q5_1_watchlist": lambda d: d.watchlist,
-    "q5_2_tier_summary": lambda d: scoring.tier_summary(d.watchlist),
+    "q5_2_tier_summary": lambda d: scoring.tier_summary(d.tiered),
     "q6_1_exec_summary": lambda d: d.summary,
     "q6_2_exposure_by_type": lambda d: report.exposure_by_type(d.base),
     "q6_3_fraud_trend": lambda d: report.fraud_trend(d.base, d.spine),
