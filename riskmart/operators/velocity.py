@@ -82,7 +82,6 @@ def rapid_pairs(
     rows = base.select(
         *OWNER, "transaction_id", "transaction_datetime",
         (F.col("amount_usd") * 100).cast("long").alias("cents"),
-        minute_number(F.col("transaction_datetime")).alias("minute"),
     ).dropna(subset=[*OWNER, "transaction_id", "transaction_datetime"])
 
     minutes = _per_minute(rows, OWNER)
@@ -91,13 +90,16 @@ def rapid_pairs(
         totals = _pair_totals(minutes, max_minutes)
     else:
         same_id = [*OWNER, "transaction_id"]
+        # Fingerprints only narrow down what is counted per id below: rows that
+        # pass by a chance collision have an id of their own and form no pair.
+        marked = rows.withColumn("fingerprint", F.xxhash64(*same_id))
         repeated = (
-            rows.groupBy(*same_id)
+            marked.groupBy("fingerprint")
             .agg(F.min("transaction_datetime").alias("first"),
                  F.max("transaction_datetime").alias("last"))
-            .filter(F.col("first") < F.col("last")).select(*same_id)
+            .filter(F.col("first") < F.col("last")).select("fingerprint")
         )
-        id_minutes = _per_minute(rows.join(repeated, same_id, "left_semi"), same_id)
+        id_minutes = _per_minute(marked.join(repeated, "fingerprint", "left_semi"), same_id)
         # A minute whose rows all carry one repeated id offers no pair of its own.
         single = id_minutes.select(
             *OWNER, "minute", "rows", F.col("transaction_id").alias("only_id"))
@@ -126,11 +128,11 @@ def _per_minute(rows: DataFrame, keys: list[str]) -> DataFrame:
     Rows of one instant form no pair with each other; the ``tied_*`` columns hold
     their part of the products. Cents are whole numbers, so sums stay exact.
     """
-    instants = rows.groupBy(*keys, "minute", "transaction_datetime").agg(
+    instants = rows.groupBy(*keys, "transaction_datetime").agg(
         F.count("*").alias("rows"),
         F.count("cents").alias("priced"),
         F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"),
-    )
+    ).withColumn("minute", minute_number(F.col("transaction_datetime")))
     tied_cents = F.when(F.col("priced") > 1, F.col("cents") * whole(F.col("priced") - 1))
     return instants.groupBy(*keys, "minute").agg(
         F.sum("rows").alias("rows"),
