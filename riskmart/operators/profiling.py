@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskmart.functions.numeric import average, ratio
+from riskmart.functions.numeric import average, count_ratio, ratio
 from riskmart.operators import shared
 from riskmart.operators.shared import first_rows
 
@@ -40,7 +40,7 @@ def takeover_profile(
         hour = F.when(condition, F.col("transaction_hour"))
         return [
             average(F.sum(amount), F.count(amount)).alias(f"{name}_avg_spend"),
-            ratio(F.sum(hour), F.count(hour), 1).alias(f"{name}_avg_hour"),
+            count_ratio(F.sum(hour), F.count(hour), 1).alias(f"{name}_avg_hour"),
             F.count(F.when(condition, F.lit(1))).alias(f"{name}_txn_count"),
         ]
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskmart.functions.ladder import Rungs, ladder, matches
-from riskmart.functions.numeric import average, percent, ratio, whole
+from riskmart.functions.numeric import average, count_percent, count_ratio, ratio, whole
 from riskmart.functions.ranking import standings
 from riskmart.operators.profiling import CUTOFF
 from riskmart.operators.shared import share_of_total
@@ -57,7 +57,7 @@ def _match_sums(flag: str, matched: str, name: str) -> list[Column]:
 
 
 def _off_hours_rate() -> Column:
-    return percent(
+    return count_percent(
         F.col("off_hours_txns"), F.col("total_txns")).alias("off_hours_rate_pct")
 
 
@@ -73,7 +73,7 @@ def _spend_multiplier() -> Column:
 
 
 def _match_rate(name: str, alias: str) -> Column:
-    return percent(F.col(f"{name}_rows"), F.col(f"{name}_matched")).alias(alias)
+    return count_percent(F.col(f"{name}_rows"), F.col(f"{name}_matched")).alias(alias)
 
 
 def _shell_flags(merchants: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def watchlist(scored: DataFrame, tiers: Rungs = TIERS) -> DataFrame:
     ranked = standings(tiered(scored, tiers), "total_risk_score")
     ahead, others = F.col("rows_ahead"), F.col("rows_total") - 1
     return ranked.withColumn(
-        "risk_percentile", F.coalesce(ratio(ahead * 100, others, 1), F.lit(0))
+        "risk_percentile", F.coalesce(count_ratio(ahead * 100, others, 1), F.lit(0))
     ).drop("rows_ahead", "rows_total")
 
 
@@ -192,7 +192,7 @@ def tier_summary(listed: DataFrame, tiers: Rungs = TIERS) -> DataFrame:
     """
     groups = listed.groupBy("risk_tier").agg(
         F.count("*").alias("customer_count"),
-        ratio(F.sum("total_risk_score"), F.count("*"), 1).alias("avg_score"),
+        count_ratio(F.sum("total_risk_score"), F.count("*"), 1).alias("avg_score"),
         F.min("total_risk_score").alias("min_score"),
         F.max("total_risk_score").alias("max_score"),
     )

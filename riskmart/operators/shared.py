@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskmart.functions.numeric import average, percent
+from riskmart.functions.numeric import average, count_percent, percent
 
 def volume() -> Column:
     return F.sum("amount_usd")
@@ -24,7 +24,7 @@ def flagged() -> Column:
 
 
 def flagged_rate() -> Column:
-    return percent(flagged(), F.count("*"))
+    return count_percent(flagged(), F.count("*"))
 
 
 def flagged_volume() -> Column:
@@ -37,8 +37,9 @@ def share_of_total(groups: DataFrame, measure: str, share: str) -> DataFrame:
     ``groups`` is an aggregate by a label (channel, status, country, tier): the
     unpartitioned window sees one row per label, never the rows behind it.
     """
-    total = F.sum(measure).over(Window.partitionBy())
-    return groups.withColumn(share, percent(F.col(measure), total))
+    value = F.col(measure).cast("decimal(28,2)")
+    total = F.sum(value).over(Window.partitionBy())
+    return groups.withColumn(share, percent(value, total))
 
 
 def period_change(

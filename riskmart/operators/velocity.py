@@ -9,11 +9,13 @@ of transactions is ever formed.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskmart.functions.calendar import minute_number
-from riskmart.functions.numeric import ratio, whole
+from riskmart.functions.numeric import count_ratio, ratio, whole
 from riskmart.operators.shared import first_rows
 
 OWNER = ["customer_key", "transaction_date"]
@@ -63,7 +65,7 @@ def rapid_gaps(
     return _named(rapid, customers).select(
         "customer_key", "full_name", "country", "kyc_status",
         "rapid_txn_count", "min_gap_minutes",
-        _mean_gap("gap_sum", "rapid_txn_count").alias("avg_gap_minutes"),
+        count_ratio(F.col("gap_sum"), F.col("rapid_txn_count"), 1).alias("avg_gap_minutes"),
         "rapid_window_volume_usd",
     ).transform(first_rows, n, F.desc("rapid_txn_count"), F.asc("customer_key"))
 
@@ -114,10 +116,11 @@ def rapid_pairs(
     rapid = totals.filter(F.col("pairs") >= max(min_pairs, 1))
     return _named(rapid, customers).select(
         "customer_key", "full_name", "country", "kyc_status",
-        F.col("pairs").alias("rapid_pair_count"), "min_gap_minutes",
-        _mean_gap("gaps", "pairs").alias("avg_gap_minutes"),
-        F.when(F.col("priced_pairs") > 0, ratio(F.col("cents"), F.lit(200), 2))
-        .alias("approx_volume_usd"),
+        F.col("pairs").cast("long").alias("rapid_pair_count"), "min_gap_minutes",
+        ratio(F.col("gaps"), F.col("pairs"), 1).alias("avg_gap_minutes"),
+        # Half of the cents in dollars, by a product: the sum may exceed a long.
+        F.when(F.col("priced_pairs") > 0,
+               F.round(F.col("cents") * F.lit(Decimal("0.005")), 2)).alias("approx_volume_usd"),
     ).transform(first_rows, n, F.desc("rapid_pair_count"), F.asc("customer_key"))
 
 
@@ -176,11 +179,12 @@ def _pairs_per_minute(
 
 
 def _sums(prefix: str = "") -> list[Column]:
+    """Totals as decimals: a busy customer has more pairs than a long can hold gaps."""
     return [
-        F.sum("pairs").alias(f"{prefix}pairs"),
-        F.sum("gaps").alias(f"{prefix}gaps"),
+        F.sum(whole(F.col("pairs"))).alias(f"{prefix}pairs"),
+        F.sum(whole(F.col("gaps"))).alias(f"{prefix}gaps"),
         F.sum("pair_cents").alias(f"{prefix}cents"),
-        F.sum("priced_pairs").alias(f"{prefix}priced_pairs"),
+        F.sum(whole(F.col("priced_pairs"))).alias(f"{prefix}priced_pairs"),
     ]
 
 
@@ -202,10 +206,6 @@ def _pair_totals(minutes: DataFrame, max_minutes: int) -> DataFrame:
         *_sums(), F.min("smallest_gap").alias("min_gap_minutes"))
 
 
-def _mean_gap(total: str, count: str) -> Column:
-    return ratio(F.col(total), F.col(count), 1)
-
-
 def _named(found: DataFrame, customers: DataFrame) -> DataFrame:
     return found.join(
         customers.select("customer_key", "full_name", "country", "kyc_status"), "customer_key")

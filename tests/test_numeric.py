@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskmart.functions.calendar import minute_number
 from riskmart.functions.ladder import ladder
-from riskmart.functions.numeric import average, percent, ratio
+from riskmart.functions.numeric import average, count_percent, count_ratio, ratio
 
 RELAXED = settings(max_examples=8, deadline=None,
                    suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -39,7 +39,7 @@ def test_ratio_of_money_is_exact(spark, pairs):
                 min_size=1, max_size=30))
 def test_percent_of_counts_is_exact(spark, pairs):
     rows = spark.createDataFrame(pairs, "num long, den long")
-    found = rows.select("num", "den", percent(F.col("num"), F.col("den")).alias("q")).collect()
+    found = rows.select("num", "den", count_percent(F.col("num"), F.col("den")).alias("q")).collect()
     assert all(r.q == half_up(100 * r.num, r.den, 2) for r in found)
 
 
@@ -53,6 +53,14 @@ def test_ratio_edges(spark, num, den, places, expected):
     assert row.q == (None if expected is None else Decimal(expected))
 
 
+def test_a_quotient_beyond_a_long_does_not_wrap(spark):
+    row = spark.range(1).select(
+        ratio(F.lit(Decimal("9999999999999999.99")), F.lit(Decimal("0.01")), 2).alias("q"),
+        count_ratio(F.lit(10 ** 17), F.lit(3), 1).alias("r")).first()
+    assert row.q == Decimal("999999999999999999.00")
+    assert row.r == Decimal("33333333333333333.3")
+
+
 def test_sums_beyond_double_precision_stay_exact(spark):
     big = Decimal("9999999999999999.99")
     row = spark.range(1000).select(F.lit(big).cast("decimal(18,2)").alias("a")).agg(

@@ -224,3 +224,11 @@ def test_one_busy_customer(spark):
     assert pair.approx_volume_usd == Decimal(busy * (busy - 1) // 2)
     gap, = rapid_gaps(rows, customers).collect()
     assert (gap.rapid_txn_count, gap.rapid_window_volume_usd) == (busy - 1, busy - 1)
+
+
+def test_large_amounts_of_many_pairs_do_not_overflow(spark):
+    big = "9999999999999999.99"
+    rows = [at(f"01 10:00:{s:02d}", amount_usd=big) for s in range(3)] + [
+        at(f"01 10:0{m}:30", amount_usd=big) for m in range(1, 6)]
+    pair, = pairs_of(spark, rows)
+    assert (pair.rapid_pair_count, pair.approx_volume_usd) == (28, 28 * Decimal(big))
