@@ -67,17 +67,23 @@ def test_gaps_order_minutes_not_transactions(stored):
     assert "Aggregate(key=[customer_key" in plan[window:]
 
 
+SETTINGS = {
+    "no broadcasts": {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                      "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"},
+    "not adaptive": {"spark.sql.adaptive.enabled": "false"},
+}
+
+
+@pytest.mark.parametrize("setting", SETTINGS)
 @pytest.mark.parametrize("name", JOINED)
-def test_results_do_not_depend_on_broadcasts(spark, stored, name):
+def test_results_do_not_depend_on_the_strategy(spark, stored, name, setting):
     expected = sorted(map(repr, QUERIES[name](stored).collect()))
-    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
-    for key in names:
-        spark.conf.set(key, "-1")
+    for key, value in SETTINGS[setting].items():
+        spark.conf.set(key, value)
     try:
-        found = QUERIES[name](stored)
-        assert sorted(map(repr, found.collect())) == expected
+        assert sorted(map(repr, QUERIES[name](stored).collect())) == expected
     finally:
-        for key in names:
+        for key in SETTINGS[setting]:
             spark.conf.unset(key)
 
 
