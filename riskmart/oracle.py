@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 
+from riskmart.sources import TABLES
 from riskmart.sources.testdata import MAPPING
 
 _TX = """
@@ -57,12 +58,15 @@ _HIT_RATE = _pct("sum(hit)", "count(*)")
 _HIT_CENTS = "coalesce(sum(cents) filter (where hit = 1), 0)"
 
 
-def _with_ctes(body: str) -> str:
-    """``body`` preceded by the shared definitions it needs, in order."""
+def _with_ctes(body: str, given: frozenset[str] = frozenset()) -> str:
+    """``body`` preceded by the shared definitions it needs, in order.
+
+    Tables in ``given`` exist already and are not defined again.
+    """
     needed: set[str] = set()
 
     def visit(text: str) -> None:
-        for name in _NAMED:
+        for name in _NAMED.keys() - given:
             if name not in needed and re.search(rf"\b(from|join) {name}\b", text):
                 needed.add(name)
                 visit(_NAMED[name])
@@ -369,3 +373,7 @@ union all select 'ACCOUNTS RECOMMENDED FOR FREEZE', cast(count(*) as varchar) fr
 
 #: complete statements by the name of the query they check
 ORACLES: dict[str, str] = {name: _with_ctes(body) for name, body in _BODIES.items()}
+
+#: the same over star tables that exist under their own names
+STAR_ORACLES: dict[str, str] = {
+    name: _with_ctes(body, frozenset(TABLES)) for name, body in _BODIES.items()}
