@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskmart.functions.numeric import average, count_percent, percent
 
+
 def volume() -> Column:
     return F.sum("amount_usd")
 

@@ -84,7 +84,9 @@ def rapid_pairs(
     rows = base.select(
         *OWNER, "transaction_id", "transaction_datetime",
         (F.col("amount_usd") * 100).cast("long").alias("cents"),
-    ).dropna(subset=[*OWNER, "transaction_id", "transaction_datetime"])
+    )
+    for compared in (*OWNER, "transaction_id", "transaction_datetime"):
+        rows = rows.filter(F.col(compared).isNotNull())
 
     minutes = _per_minute(rows, OWNER)
     if ids_unique:
@@ -151,9 +153,12 @@ def _pairs_per_minute(
     minutes: DataFrame, keys: list[str], max_minutes: int, *extra: Column
 ) -> DataFrame:
     """The pairs whose later row falls in each minute; minutes without pairs are left out."""
-    earlier = Window.partitionBy(*keys).orderBy("minute").rangeBetween(-max_minutes, -1)
+    by_time = Window.partitionBy(*keys).orderBy("minute")
 
     def before(value: Column) -> Column:
+        if max_minutes < 1:
+            return F.lit(0)
+        earlier = by_time.rangeBetween(-max_minutes, -1)
         return F.coalesce(F.sum(value).over(earlier), F.lit(0))
 
     rows, priced, cents = F.col("rows"), F.col("priced"), F.col("cents")

@@ -116,7 +116,7 @@ def random_rows(seed, customers):
     return rows
 
 
-@pytest.mark.parametrize("seed, max_minutes", [(1, 60), (2, 60), (3, 7)])
+@pytest.mark.parametrize("seed, max_minutes", [(1, 60), (2, 60), (3, 7), (4, 1), (5, 0)])
 def test_many_customers_equal_brute_force(spark, seed, max_minutes):
     rows = random_rows(seed, 250)
     star = make_star(spark, rows)
