@@ -71,6 +71,7 @@ SETTINGS = {
     "no broadcasts": {"spark.sql.autoBroadcastJoinThreshold": "-1",
                       "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"},
     "not adaptive": {"spark.sql.adaptive.enabled": "false"},
+    "not ANSI": {"spark.sql.ansi.enabled": "false"},
 }
 
 
