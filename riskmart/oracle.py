@@ -229,7 +229,8 @@ from steps"""
 
 _BODIES = {
     "f1_flagged_base": """
-select * replace (cast(amount_usd as double) as amount_usd, cast(date_key as integer) as date_key),
+select * replace (cast(amount_usd as double) as amount_usd, cast(date_key as integer) as date_key,
+  cast(merchant_key as double) as merchant_key, cast(location_key as double) as location_key),
  cast(is_flagged as int) as is_flagged_int, cast(is_off_hours as int) as is_off_hours_int
 from fact_transactions""",
     "f2_portfolio_stats": f"""
