@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
-from riskmart.llm import decontamination, quality_rules
+from riskmart.llm import (
+    decontamination,
+    html_text,
+    line_dedup,
+    mixing,
+    near_dedup,
+    pii,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+    toxicity,
+)
 
 _MODULES = {
+    "op1_line_dedup": line_dedup,
+    "op2_substring_dedup": substring_dedup,
+    "op3_html_extraction": html_text,
     "op4_decontamination": decontamination,
+    "op5_minhash_near_dedup": near_dedup,
+    "op6_mixing": mixing,
+    "op7_toxicity": toxicity,
+    "op8_quality_classifier": quality_classifier,
     "op9_quality_rules": quality_rules,
+    "op10_pii": pii,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
