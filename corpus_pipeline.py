@@ -9,24 +9,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskmart.llm import decontamination, quality_rules
+from riskmart.llm import decontamination, line_dedup, mixing, near_dedup, quality_rules
 from riskmart.llm.common import stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go, and documents that the quality rules reject."""
     return quality_rules.clean(docs)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines similar to an earlier line go, and documents that lose their last word."""
+    return line_dedup.remove_lines(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id."""
+    return near_dedup.one_of_each(docs, settings=near_dedup.Settings(shingle=5, percent=80))
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
     return decontamination.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents drawn for the target mix, with what they were drawn by."""
+    return mixing.drawn(docs)
+
+
 STAGES = [
     ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("near-duplicate removal", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
 ]
 
-#: line and near-duplicate removal and mixing go beyond SQL; tests/llm use brute force
+#: near-duplicate groups and mixing weights go beyond SQL; tests/llm use brute force
 ORACLE_SQL = None
 
 

@@ -7,9 +7,9 @@ the later one, by document id and line number, is removed; equal lines are the s
 case. Lines are judged on the input, not on what is left.
 
 Rarity comes from the whole corpus: words are counted in a fixed number of hash buckets
-(``BUCKETS``), so the table of ranks that every task gets never grows. A word's sort key
-is its bucket's rank followed by the rest of its 64-bit hash, which loses nothing of the
-hash and puts rare words first. All of it is DataFrame operations.
+(``BUCKETS``), so the table of rarity classes that every task gets never grows. A word's
+sort key is its bucket's class followed by 57 bits of its hash, which puts rare words
+first. All of it is DataFrame operations.
 
 Defined results: NULL, empty and blank texts have no lines, and blank lines are never
 removed. Rows without an id have no place in the order: they lose nothing and take
@@ -19,10 +19,12 @@ the same place. Other columns pass unchanged.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskmart.llm.common import BLANKS, lower_ascii, table, words
+from riskmart.llm.common import BLANKS, lower_ascii, once, table, words
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -42,16 +44,15 @@ def lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.withColumns({"h1": F.xxhash64("line"), "h2": F.hash("line")})
 
 
-def rarity_ranks(documents: DataFrame, text_col: str) -> DataFrame:
-    """One row: the rank of each hash bucket by how often its words occur."""
+def rarity_classes(documents: DataFrame, text_col: str) -> bytes:
+    """For each hash bucket a class from 0 to 127 that grows with the logarithm of how
+    often its words occur. The counts that come to the driver are one per bucket."""
     word = documents.select(F.explode(line_words(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
     counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count()
-    every = documents.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("count"))
-    every = every.union(counts.select("bucket", "count")).groupBy("bucket").agg(F.sum("count").alias("count"))
-    # one row per bucket, a fixed number: the position after sorting by count is the rank
-    order = every.agg(F.sort_array(F.collect_list(F.struct("count", "bucket"))).alias("o"))
-    places = F.sort_array(F.transform("o", lambda x, i: F.struct(x["bucket"].alias("b"), i.alias("r"))))
-    return order.select(F.transform(places, lambda x: x["r"].cast("long")).alias("ranks"))
+    classes = bytearray(BUCKETS)
+    for bucket, count in counts.collect():
+        classes[bucket] = min(127, int(2.5 * math.log2(1 + count)))
+    return bytes(classes)
 
 
 def hashes(line: Column) -> Column:
@@ -59,16 +60,16 @@ def hashes(line: Column) -> Column:
     return F.array_distinct(F.transform(line_words(line), lambda w: F.xxhash64(w)))
 
 
-def similar_lines(found: DataFrame, ranks: DataFrame, percent: int = PERCENT) -> DataFrame:
+def similar_lines(found: DataFrame, classes: bytes, percent: int = PERCENT) -> DataFrame:
     """Pairs of different lines with a similarity of ``percent`` or more, as the
     fingerprints and first places of both; ``found`` as from ``lines``."""
     distinct = found.groupBy("h1", "h2").agg(
         F.first("line").alias("line"), F.min(F.struct("doc_id", "pos")).alias("first"))
-    rank = ranks.scalar()
 
     def key(h: Column) -> Column:
-        of_bucket = F.get(rank, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) - BUCKETS // 2
-        return F.shiftleft(of_bucket, 64 - BITS).bitwiseOR(F.shiftrightunsigned(h, BITS))
+        at = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
+        of_bucket = F.ascii(F.substring(F.lit(classes), at, F.lit(1)).cast("string")).cast("long")
+        return F.shiftleft(of_bucket - 64, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
     sets = distinct.select("h1", "h2", F.sort_array(F.transform(hashes(F.col("line")), key)).alias("keys"))
     n = F.size("keys")
@@ -98,7 +99,7 @@ def removed_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """``doc_id`` and ``removed``, the sorted numbers of its later lines, for documents
     that have any."""
     found = lines(documents, id_col, text_col)
-    pairs = similar_lines(found, rarity_ranks(documents, text_col), percent)
+    pairs = similar_lines(found, rarity_classes(documents, text_col), percent)
     later = pairs.select(F.when(F.col("first_x") < F.col("first_y"), F.struct(F.col("h1_y").alias("h1"), F.col("h2_y").alias("h2")))
                          .otherwise(F.struct(F.col("h1_x").alias("h1"), F.col("h2_x").alias("h2"))).alias("l"))
     later = later.select("l.h1", "l.h2").distinct().withColumn("later", F.lit(True))
@@ -131,10 +132,10 @@ def remove_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     joined = packed.join(gone, F.col("__own") == F.col("__id"), "left")
     parts = F.split(F.col(f"row.`{text_col}`"), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__removed"))
-    joined = joined.withColumns({"__parts": parts, "__left": left})
+    joined = joined.withColumns({"__parts": once(parts), "__left": left})
     text = F.when(F.col("__removed").isNull(), F.col(f"row.`{text_col}`")).otherwise(
         F.array_join(F.transform("__left", lambda i: F.get(F.col("__parts"), i)), "\n"))
-    joined = joined.withColumn("__text", text).filter(
+    joined = joined.withColumn("__text", once(text)).filter(
         F.col("__removed").isNull() | (F.length(F.btrim("__text", F.lit(BLANKS))) > 0))
     fresh = {text_col: F.col("__text")}
     if "n_chars" in documents.columns:

@@ -153,6 +153,15 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ((draw < F.col("probability")) & (F.col("tokens") > 0)).alias("selected"))
 
 
+def drawn(documents: DataFrame, **options) -> DataFrame:
+    """The selected documents in their own columns, and ``mix_topic``, ``mix_tokens``,
+    ``mix_weight`` and ``mix_probability`` (columns of such a name are replaced)."""
+    extra = ["topic", "tokens", "weight", "probability"]
+    own = [c for c in documents.columns if c not in {f"mix_{e}" for e in extra}]
+    return mix(documents, **options).filter("selected").select(
+        *(F.col(f"row.`{c}`").alias(c) for c in own), *(F.col(e).alias(f"mix_{e}") for e in extra))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(
         "row.doc_id", "row.source", "row.lang", "topic", "tokens", "weight", "probability", "selected")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskmart.llm.common import BLANKS, words
+from riskmart.llm.common import BLANKS, once, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -117,7 +117,8 @@ def clean(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           rules: Rules = Rules()) -> DataFrame:
     """The documents that are kept, without their failing lines, in their own columns;
     ``n_chars`` follows the text."""
-    kept = judge(documents, id_col, text_col, rules).filter("kept")
+    judged = judge(documents, id_col, text_col, rules)
+    kept = judged.withColumn("kept", once(F.col("kept"))).filter("kept")
     fresh = {text_col: F.col("clean_text"), "n_chars": F.length("clean_text").cast("bigint")}
     return kept.select(*(fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns))
 
