@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def standings(rows: DataFrame, value: str, *, descending: bool = False) -> DataFrame:
+def standings(
+    rows: DataFrame, value: str, *, descending: bool = False, few_values: bool = True
+) -> DataFrame:
     """Add ``rows_ahead`` (rows ordered strictly before) and ``rows_total``.
 
     ``rank()`` without a partition moves every row into one task. Here only the
@@ -14,8 +16,9 @@ def standings(rows: DataFrame, value: str, *, descending: bool = False) -> DataF
     the counts into positions, and the positions go back to the rows.
 
     ``value`` has to be a whole number counted or scored by this library, which
-    bounds the broadcast: a score has at most 101 values, and d different counts
-    need at least d*(d-1)/2 counted rows, so 10^12 rows give under 1.5 million.
+    bounds the positions: a score has at most 101 values, and d different counts
+    need at least d*(d-1)/2 counted rows, so 10^12 rows give under 1.5 million. Only
+    with ``few_values`` are they broadcast by hint; otherwise Spark decides.
     """
     position = F.col("position_value")
     order = position.desc_nulls_last() if descending else position.asc_nulls_first()
@@ -30,5 +33,5 @@ def standings(rows: DataFrame, value: str, *, descending: bool = False) -> DataF
         )
     )
     return rows.join(
-        F.broadcast(positions), F.col(value).eqNullSafe(position)
+        F.broadcast(positions) if few_values else positions, F.col(value).eqNullSafe(position)
     ).drop("position_value")

@@ -52,7 +52,12 @@ def zscore_outliers(
     mean = stats.select("mean_amount").scalar()
     deviation = stats.select("std_dev_amount").scalar()
     score = (F.col("amount_usd") - mean).cast("double") / F.nullif(deviation, F.lit(0.0))
-    outliers = base.filter(score > threshold)
+    # a plain bound, a little loose, that Parquet can compare; the exact test follows
+    bound = stats.select((
+        F.col("mean_amount").cast("double") + threshold * F.col("std_dev_amount")
+        - 0.01 - 1e-9 * F.abs(F.col("mean_amount").cast("double") + threshold * F.col("std_dev_amount"))
+    ).cast("decimal(18,2)")).scalar()
+    outliers = base.filter((F.col("amount_usd") >= bound) & (score > threshold))
     rows = (
         outliers
         .join(customers.select("customer_key", "full_name"), "customer_key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskmart.functions.numeric import percent
+from riskmart.functions.numeric import average, percent
 from riskmart.functions.ranking import standings
 from riskmart.operators import shared
 from riskmart.operators.shared import share_of_total
@@ -25,7 +25,7 @@ def merchant_risk(base: DataFrame, merchants: DataFrame) -> DataFrame:
         shared.flagged_rate().alias("flagged_rate_pct"),
     )
     named = groups.join(merchants, "merchant_key")
-    return standings(named, "flagged_count", descending=True).select(
+    return standings(named, "flagged_count", descending=True, few_values=False).select(
         "merchant_key", "merchant_name", "merchant_category", "risk_rating",
         "is_shell_merchant", F.col("country").alias("merchant_country"),
         "total_transactions", "unique_customers", "total_volume_usd",
@@ -44,14 +44,18 @@ def shell_flows(base: DataFrame, merchants: DataFrame, locations: DataFrame) ->
         "is_high_risk_country")
     keys = ["merchant_name", "merchant_category", "merchant_country",
             "transaction_origin_country", "is_high_risk_country", "channel"]
+    # grouped by the fact's own keys before the joins, which see groups only
+    groups = base.groupBy("merchant_key", "location_key", "channel", "customer_key").agg(
+        F.count("*").alias("rows"), F.count("amount_usd").alias("amounts"),
+        shared.volume().alias("volume"))
     return (
-        base.join(shells, "merchant_key").join(origins, "location_key")
+        groups.join(shells, "merchant_key").join(origins, "location_key")
         .groupBy(*keys)
         .agg(
-            F.count("*").alias("transaction_count"),
+            F.sum("rows").alias("transaction_count"),
             shared.customers().alias("unique_customers"),
-            shared.volume().alias("total_volume_usd"),
-            shared.mean_amount().alias("avg_transaction_value"),
+            F.sum("volume").alias("total_volume_usd"),
+            average(F.sum("volume"), F.sum("amounts")).alias("avg_transaction_value"),
         )
         .orderBy(F.desc("total_volume_usd"), *keys)
     )

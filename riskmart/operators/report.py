@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskmart.functions.numeric import percent
@@ -110,11 +110,19 @@ def kpi_report(summary: DataFrame, base: DataFrame) -> DataFrame:
             F.round("estimated_fraud_exposure_usd", 0), 0))),
         line(3, "FRAUD RATE (%)", F.concat(F.col("fraud_rate_pct").cast("string"), F.lit("%"))),
     )))
-    flagged = base.filter("is_flagged_int = 1")
-    channel = flagged.groupBy("channel").agg(F.count("*").alias("size")).orderBy(
-        F.desc("size"), "channel").limit(1)
-    kind = flagged.groupBy("fraud_type").agg(F.sum("amount_usd").alias("size")).orderBy(
-        F.desc("size"), "fraud_type").limit(1)
+    # one aggregate of a few dozen rows serves both the channel and the type
+    flagged = base.filter("is_flagged_int = 1").groupBy("channel", "fraud_type").agg(
+        F.count("*").alias("rows"), F.sum("amount_usd").alias("volume"))
+    tops = flagged.groupingSets([["channel"], ["fraud_type"]], "channel", "fraud_type").agg(
+        F.grouping("fraud_type").alias("by_channel"), F.sum("rows").alias("rows"),
+        F.sum("volume").alias("volume"))
+    best = Window.partitionBy("by_channel").orderBy(
+        F.when(F.col("by_channel") == 1, F.col("rows").cast("decimal(38,2)"))
+        .otherwise(F.col("volume").cast("decimal(38,2)")).desc_nulls_last(),
+        F.coalesce("channel", "fraud_type"))
+    leaders = tops.withColumn("place", F.row_number().over(best)).filter("place = 1").select(F.when(
+        F.col("by_channel") == 1, line(4, "HIGHEST RISK CHANNEL", F.col("channel"))
+    ).otherwise(line(5, "HIGHEST RISK FRAUD TYPE", F.col("fraud_type"))).alias("line")).select("line.*")
     accounts = base.groupBy("account_key").agg(
         F.count("*").alias("rows"), shared.flagged().alias("flagged"),
         shared.flagged_volume().alias("exposure"),
@@ -124,8 +132,7 @@ def kpi_report(summary: DataFrame, base: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("size"))
     return (
         totals
-        .unionByName(one(channel, 4, "HIGHEST RISK CHANNEL", F.col("channel")))
-        .unionByName(one(kind, 5, "HIGHEST RISK FRAUD TYPE", F.col("fraud_type")))
+        .unionByName(leaders)
         .unionByName(one(accounts, 6, "ACCOUNTS RECOMMENDED FOR FREEZE", F.col("size")))
         .orderBy("place").select("metric", "value")
     )

@@ -52,8 +52,15 @@ def _spend_sums(cutoff: dt.date) -> list[Column]:
 
 
 def _match_sums(flag: str, matched: str, name: str) -> list[Column]:
-    return [F.count(matched).alias(f"{name}_matched"),
-            F.sum(F.col(flag).cast("int")).alias(f"{name}_rows")]
+    """Sums over groups of ``total_txns`` rows each."""
+    return [F.coalesce(F.sum(F.when(F.col(matched), F.col("total_txns"))), F.lit(0))
+            .alias(f"{name}_matched"),
+            F.sum(F.col(flag).cast("long") * F.col("total_txns")).alias(f"{name}_rows")]
+
+
+#: the counts and sums of ``_off_hours_sums`` and ``_spend_sums``; they add up over groups
+ADDITIVE = ["total_txns", "off_hours_txns", "early_rows", "early_amounts", "early_volume",
+            "late_rows", "late_amounts", "late_volume"]
 
 
 def _off_hours_rate() -> Column:
@@ -108,14 +115,18 @@ def spend_spike_signal(
 
 def shell_signal(base: DataFrame, merchants: DataFrame) -> DataFrame:
     """Per customer: share of transactions with a known merchant that is a shell."""
-    return base.join(_shell_flags(merchants), "merchant_key").groupBy("customer_key").agg(
+    groups = base.filter(F.col("merchant_key").isNotNull()).groupBy(
+        "customer_key", "merchant_key").agg(F.count("*").alias("total_txns"))
+    return groups.join(_shell_flags(merchants), "merchant_key").groupBy("customer_key").agg(
         *_match_sums("is_shell_merchant", "merchant_known", "shell")
     ).select("customer_key", _match_rate("shell", "shell_rate_pct"))
 
 
 def geo_signal(base: DataFrame, locations: DataFrame) -> DataFrame:
     """Per customer: share of transactions with a known location that is high-risk."""
-    return base.join(_risk_flags(locations), "location_key").groupBy("customer_key").agg(
+    groups = base.filter(F.col("location_key").isNotNull()).groupBy(
+        "customer_key", "location_key").agg(F.count("*").alias("total_txns"))
+    return groups.join(_risk_flags(locations), "location_key").groupBy("customer_key").agg(
         *_match_sums("is_high_risk_country", "location_known", "geo")
     ).select("customer_key", _match_rate("geo", "high_risk_country_rate_pct"))
 
@@ -126,15 +137,19 @@ def signals(
 ) -> DataFrame:
     """All four signals per customer in one pass over the fact.
 
-    The dimensions join from the left, so a row without merchant or location still
-    counts for the other signals; a signal without any matched row is NULL.
+    The fact is grouped by customer, merchant and location first, so the joins see
+    groups, never single rows. The dimensions join from the left, so a group without
+    merchant or location still counts for the other signals; a signal without any
+    matched row is NULL.
     """
+    groups = base.groupBy("customer_key", "merchant_key", "location_key").agg(
+        *_off_hours_sums(), *_spend_sums(cutoff))
     return (
-        base.join(_shell_flags(merchants), "merchant_key", "left")
+        groups.join(_shell_flags(merchants), "merchant_key", "left")
         .join(_risk_flags(locations), "location_key", "left")
         .groupBy("customer_key")
-        .agg(*_off_hours_sums(), *_spend_sums(cutoff),
-             *_match_sums("is_shell_merchant", "merchant_known", "shell"),
+        .agg(*_match_sums("is_shell_merchant", "merchant_known", "shell"),
+             *(F.sum(name).alias(name) for name in ADDITIVE),
              *_match_sums("is_high_risk_country", "location_known", "geo"))
         .select(
             "customer_key", _off_hours_rate(),

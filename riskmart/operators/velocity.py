@@ -19,6 +19,7 @@ from riskmart.functions.numeric import count_ratio, ratio, whole
 from riskmart.operators.shared import first_rows
 
 OWNER = ["customer_key", "transaction_date"]
+MINUTES_A_DAY = 24 * 60
 
 
 def rapid_gaps(
@@ -31,7 +32,7 @@ def rapid_gaps(
     minute (by time, then key) follows the customer's previous minute.
     """
     minutes = (
-        base.filter(F.col("transaction_datetime").isNotNull())
+        base.filter(F.col("transaction_datetime").isNotNull() & F.col("customer_key").isNotNull())
         .groupBy("customer_key", minute_number(F.col("transaction_datetime")).alias("minute"))
         .agg(
             F.count("*").alias("rows"),
@@ -42,11 +43,17 @@ def rapid_gaps(
             ).alias("first_amount"),
         )
     )
-    by_time = Window.partitionBy("customer_key").orderBy("minute")
-    gap = F.col("minute") - F.lag("minute").over(by_time)
+    # a window holds the minutes of one customer's day; the first of a day follows the
+    # last minute of the customer's previous day, from one row per customer and day
+    minutes = minutes.withColumn("day", F.floor(F.col("minute") / MINUTES_A_DAY))
+    days = minutes.groupBy("customer_key", "day").agg(F.max("minute").alias("last_minute"))
+    days = days.select("customer_key", "day", F.lag("last_minute").over(
+        Window.partitionBy("customer_key").orderBy("day")).alias("minute_before"))
+    within_day = Window.partitionBy("customer_key", "day").orderBy("minute")
+    gap = F.col("minute") - F.coalesce(F.lag("minute").over(within_day), F.col("minute_before"))
     first_is_rapid = F.coalesce(F.col("gap") <= max_minutes, F.lit(False))
     rapid = (
-        minutes.withColumn("gap", gap)
+        minutes.join(days, ["customer_key", "day"]).withColumn("gap", gap)
         .withColumn("first_is_rapid", first_is_rapid)
         .groupBy("customer_key")
         .agg(

@@ -23,7 +23,7 @@ _NAMED = {
     "tx": _TX,
     "moments": """
 select avg_micro, sd, avg_micro / 1000000.0 as avg_usd from (
- select (2 * 10000 * sum(cents) + count(*)) // (2 * count(*)) as avg_micro,
+ select (2 * 10000 * sum(cents) + count(cents)) // (2 * count(cents)) as avg_micro,
   stddev_samp(cast(amount_usd as double)) as sd from tx)""",
 }
 
@@ -52,10 +52,10 @@ def _pct(num: str, den: str) -> str:
 
 
 _VOLUME = _usd("sum(cents)")
-_MEAN = _ratio("sum(cents)", "100 * count(*)")
+_MEAN = _ratio("sum(cents)", "100 * count(cents)")
 _HITS = "cast(sum(hit) as bigint)"
 _HIT_RATE = _pct("sum(hit)", "count(*)")
-_HIT_CENTS = "coalesce(sum(cents) filter (where hit = 1), 0)"
+_HIT_CENTS = "sum(case when hit = 1 then cents else 0 end)"
 
 
 def _with_ctes(body: str, given: frozenset[str] = frozenset()) -> str:
@@ -125,11 +125,11 @@ order by z_score desc, t.amount_usd desc, transaction_key"""
 
 _TAKEOVER = f"""
 with early as (
- select customer_key, count(*) as n, {_units('sum(cents)', '100 * count(*)')} as spend,
+ select customer_key, count(*) as n, {_units('sum(cents)', '100 * count(cents)')} as spend,
   {_units('sum(transaction_hour)', 'count(transaction_hour)', 1)} as hr
  from tx where transaction_date < date '2024-05-01' group by 1),
 late as (
- select customer_key, count(*) as n, {_units('sum(cents)', '100 * count(*)')} as spend,
+ select customer_key, count(*) as n, {_units('sum(cents)', '100 * count(cents)')} as spend,
   {_units('sum(transaction_hour)', 'count(transaction_hour)', 1)} as hr,
   count(distinct l.country) as places
  from tx join dim_location l using (location_key)
@@ -152,9 +152,11 @@ select customer_key, count(*) as total_txns, cast(sum(night) as bigint) as off_h
  {_pct('sum(night)', 'count(*)')} as off_hours_rate_pct from tx group by customer_key"""
 
 _SPEND = f"""
-select customer_key, {_ratio('ec', '100 * en')} as early_avg_spend,
- {_ratio('lc', '100 * ln')} as late_avg_spend, {_ratio('lc * en', 'ec * ln')} as spend_multiplier
+select customer_key, {_ratio('ec', '100 * ea')} as early_avg_spend,
+ {_ratio('lc', '100 * la')} as late_avg_spend, {_ratio('lc * ea', 'ec * la')} as spend_multiplier
 from (select customer_key,
+  count(cents) filter (where transaction_date < date '2024-05-01') as ea,
+  count(cents) filter (where transaction_date >= date '2024-05-01') as la,
   count(*) filter (where transaction_date < date '2024-05-01') as en,
   count(*) filter (where transaction_date >= date '2024-05-01') as ln,
   sum(cents) filter (where transaction_date < date '2024-05-01') as ec,
@@ -176,15 +178,16 @@ with o as ({_OFF_HOURS}), s as ({_SPEND}), sh as ({_SHELL}), g as ({_GEO}),
 scored as (
  select customer_key, full_name, country, kyc_status, customer_segment, off_hours_rate_pct,
   spend_multiplier, shell_rate_pct, high_risk_country_rate_pct,
-  case when off_hours_rate_pct < 10 then 3 when off_hours_rate_pct < 25 then 10
-   when off_hours_rate_pct < 40 then 18 else 25 end as score_off_hours,
-  case when spend_multiplier is null then 0 when spend_multiplier < 2 then 2
-   when spend_multiplier < 5 then 10 when spend_multiplier < 10 then 18 else 25 end as score_spend_spike,
-  case when coalesce(shell_rate_pct, 0) < 10 then 1 when shell_rate_pct < 25 then 7
-   when shell_rate_pct < 50 then 13 else 20 end as score_shell_merchant,
-  case when coalesce(high_risk_country_rate_pct, 0) < 5 then 0 when high_risk_country_rate_pct < 20 then 6
-   when high_risk_country_rate_pct < 50 then 13 else 20 end as score_geo_risk,
-  case kyc_status when 'Pending' then 5 when 'Expired' then 10 else 0 end as score_kyc
+  -- fixed values: the published points, highest rung first
+  case when off_hours_rate_pct >= 40 then 25 when off_hours_rate_pct >= 25 then 18
+   when off_hours_rate_pct >= 10 then 10 else 3 end as score_off_hours,
+  case when spend_multiplier >= 10 then 25 when spend_multiplier >= 5 then 18
+   when spend_multiplier >= 2 then 10 when spend_multiplier is null then 0 else 2 end as score_spend_spike,
+  case when shell_rate_pct >= 50 then 20 when shell_rate_pct >= 25 then 13
+   when shell_rate_pct >= 10 then 7 else 1 end as score_shell_merchant,
+  case when high_risk_country_rate_pct >= 50 then 20 when high_risk_country_rate_pct >= 20 then 13
+   when high_risk_country_rate_pct >= 5 then 6 else 0 end as score_geo_risk,
+  case kyc_status when 'Expired' then 10 when 'Pending' then 5 else 0 end as score_kyc
  from o join dim_customer using (customer_key) left join s using (customer_key)
   left join sh using (customer_key) left join g using (customer_key))"""
 
@@ -193,8 +196,8 @@ summed as (
  select *, score_off_hours + score_spend_spike + score_shell_merchant + score_geo_risk + score_kyc
   as total_risk_score from scored),
 listed as (
- select *, case when total_risk_score < 30 then 'LOW' when total_risk_score < 50 then 'MEDIUM'
-   when total_risk_score < 70 then 'HIGH' else 'CRITICAL' end as risk_tier,
+ select *, case when total_risk_score >= 70 then 'CRITICAL' when total_risk_score >= 50 then 'HIGH'
+   when total_risk_score >= 30 then 'MEDIUM' else 'LOW' end as risk_tier,
   coalesce({_ratio('100 * (rank() over (order by total_risk_score) - 1)',
                    'count(*) over () - 1', 1)}, 0) as risk_percentile
  from summed)"""
@@ -219,7 +222,7 @@ def _trend(columns: str, keys: str, source: str, mom: str) -> str:
     return f"""
 with months as (
  select year_number, month_number, month_name, quarter_name, count(*) as n,
-  count(distinct customer_key) as people, sum(cents) as cents
+  count(distinct customer_key) as people, sum(cents) as cents, count(cents) as amounts
  from {source} join dim_date using (date_key) group by 1, 2, 3, 4),
 steps as (select *, lag(cents) over (order by year_number, month_number) as before from months)
 select {keys}, {columns}, {_usd('cents - before')} as {mom},
@@ -230,11 +233,11 @@ from steps"""
 _BODIES = {
     "f1_flagged_base": """
 select * replace (cast(amount_usd as double) as amount_usd, cast(date_key as integer) as date_key,
-  cast(merchant_key as double) as merchant_key, cast(location_key as double) as location_key),
+  cast(merchant_key as varchar) as merchant_key, cast(location_key as varchar) as location_key),
  cast(is_flagged as int) as is_flagged_int, cast(is_off_hours as int) as is_off_hours_int
 from fact_transactions""",
     "f2_portfolio_stats": f"""
-select count(*) as total_rows, {_ratio('sum(cents)', '100 * count(*)', 6)} as mean_amount,
+select count(*) as total_rows, {_ratio('sum(cents)', '100 * count(cents)', 6)} as mean_amount,
  round(stddev_samp(cast(amount_usd as double)), 2) as std_dev_amount, {_HITS} as total_flagged from tx""",
     "f3_date_spine": """
 select * replace (cast(date_key as integer) as date_key, cast(year_number as integer) as year_number,
@@ -253,20 +256,20 @@ select channel, count(*) as transaction_count, count(distinct customer_key) as u
 from tx group by channel""",
     "q1_3_monthly_trend": _trend(
         f"n as total_transactions, people as active_customers, {_usd('cents')} as total_volume_usd,"
-        f" {_ratio('cents', '100 * n')} as avg_transaction_amount",
+        f" {_ratio('cents', '100 * amounts')} as avg_transaction_amount",
         "cast(year_number as integer) as year_number, cast(month_number as integer) as month_number,"
         " month_name, quarter_name", "tx", "mom_volume_change"),
     "q1_4_kyc_distribution": f"""
 select kyc_status, count(distinct c.customer_key) as customer_count,
  count(transaction_key) as transaction_count, {_VOLUME} as total_volume_usd,
- {_ratio('sum(cents)', '100 * count(transaction_key)')} as avg_transaction_amount,
+ {_ratio('sum(cents)', '100 * count(cents)')} as avg_transaction_amount,
  {_pct('count(distinct c.customer_key)', '(select count(distinct customer_key) from dim_customer)')}
   as pct_of_customers
 from dim_customer c left join tx on tx.customer_key = c.customer_key group by kyc_status""",
     "q2_1_time_window": f"""
 with labelled as (
- select *, case when transaction_hour in (1, 2, 3, 4) then 'Off-Hours (1AM-4AM)'
-  when transaction_hour >= 8 and transaction_hour <= 18 then 'Business Hours (8AM-6PM)'
+ select *, case when transaction_hour between 1 and 4 then 'Off-Hours (1AM-4AM)'
+  when transaction_hour between 8 and 18 then 'Business Hours (8AM-6PM)'
   else 'Transition Hours' end as time_window from tx)
 select time_window, count(*) as total_transactions, count(distinct customer_key) as unique_customers,
  {_VOLUME} as total_volume_usd, {_MEAN} as avg_transaction_amount,

@@ -37,8 +37,10 @@ def random_star(spark, seed):
             channel=random.choice(["Web", "ATM", "POS"]),
             amount_usd=Decimal(
                 random.choice([9999999, 12345678]) if random.random() < 0.03
-                else random.choice([0, 1, 2, 3, random.randrange(10 ** 5)])) / 100,
-            is_flagged=flagged, is_off_hours=random.random() < 0.3,
+                else random.choice([0, 1, 2, 3, random.randrange(10 ** 5)])) / 100
+            if random.random() < 0.95 else None,
+            is_flagged=flagged if random.random() < 0.97 else None,
+            is_off_hours=None if customer == 7 else random.choice([True, False, False, None]),
             fraud_type=random.choice(KINDS) if flagged else None))
     days = sorted({r["transaction_datetime"].date() for r in rows})
     return make_star(
