@@ -1,0 +1,150 @@
+"""Quality rules, line dedup and personal data: brute force, odd rows, no Python in plans."""
+
+import re
+from collections import Counter
+
+import pytest
+
+from conftest import ODD  # noqa: F401
+from riskmart.llm import line_dedup, pii, quality_rules
+
+SPLIT = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def split(text):
+    return [w for w in SPLIT.split(text or "") if w]
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def repeat_words(words):
+    windows = Counter(tuple(words[i:i + 8]) for i in range(len(words) - 7))
+    covered = set()
+    for i in range(len(words) - 7):
+        if windows[tuple(words[i:i + 8])] > 1:
+            covered.update(range(i, i + 8))
+    return len(covered)
+
+
+def test_quality_counts(frame, rows):
+    looped = [(900, "a b c d e f g h " * 5, "en", "s", 1), (901, "A|b|c #x *y\nA|b|c #x *y", "en", "s", 1)]
+    given = rows + looped
+    found = {r.doc_id: r for r in quality_rules.judge(frame(given)).selectExpr("row.doc_id", "*").collect()}
+    for doc, text, *_ in given:
+        words, r = split(text), found[doc]
+        lines = [x for x in text.split("\n") if split(x)]
+        assert (r.n_words, r.word_chars) == (len(words), sum(map(len, words)))
+        assert r.n_symbols == sum(text.count(c) for c in "#*$%&|<>")
+        assert r.n_dup_lines == len(lines) - len(set(lines))
+        assert r.n_repeat_words == repeat_words(words)
+        assert r.base_failed == (len(words) < 20 or 100 * r.n_repeat_words > 30 * len(words))
+        assert not (r.kept and r.base_failed)
+
+
+def test_line_rules(frame):
+    good = " ".join(f"word{i}" for i in range(40)) + "."
+    cases = {1: (good, True), 2: (good + "\nHome | About | News | Contact", True),
+             3: ("Licensed under terms.\n" + good, True), 4: ("\n".join(["A!! B!! C!! D!! E!!"] * 2 + ["x"]), False),
+             5: (" ".join(f"w{i} |" for i in range(60)), False), 6: (" ".join(f"w{i}###" for i in range(60)), False)}
+    found = frame([(k, t, "en", "s", 1) for k, (t, _) in cases.items()])
+    kept = {r.doc_id: r.text for r in quality_rules.clean(found).collect()}
+    assert set(kept) == {k for k, (_, ok) in cases.items() if ok}
+    assert kept[2] == good and kept[3] == good
+
+
+def jaccard_removed(rows, percent=80):
+    seen, out = [], {}
+    places = sorted((d, p, x) for d, t, *_ in rows for p, x in enumerate((t or "").split("\n")) if split(x))
+    for doc, pos, line in places:
+        words = set(split(line))
+        if any(100 * len(words & o) >= percent * len(words | o) for o in seen):
+            out.setdefault(doc, []).append(pos)
+        seen.append(words)
+    return out
+
+
+def test_lines_against_all_pairs(frame, rows):
+    found = {r.doc_id: r.removed for r in line_dedup.removed_lines(frame(rows)).collect()}
+    assert found == jaccard_removed(rows)
+
+
+def test_lines_are_taken_out(frame, rows):
+    expected = jaccard_removed(rows)
+    kept = {r.doc_id: r for r in line_dedup.remove_lines(frame(rows)).collect()}
+    for doc, text, *_ in rows:
+        left = [x for i, x in enumerate(text.split("\n")) if i not in expected.get(doc, ())]
+        if doc not in expected:
+            assert kept[doc].text == text
+        elif any(map(split, left)):
+            assert (kept[doc].text, kept[doc].n_chars) == ("\n".join(left), len("\n".join(left)))
+        else:
+            assert doc not in kept
+
+
+ENTITIES = ["ann.lee@mail.example.com", "10.20.30.40", "4539 1488 0343 6467", "+1 (456) 555-2186",
+            "123-45-6789", "DE44 5001 0517 5407 3249 31", "0123456789abcdef0123456789abcdef"]
+
+
+def test_entities_get_surrogates_of_their_kind(frame):
+    texts = [f"see {e} now, {e}; end" for e in ENTITIES] + ["Mrs Anna Smith met Herr Braun. password = hunter2hunter2"]
+    found = pii.replace(frame([(i, t, "en", "s", 1) for i, t in enumerate(texts)]), "k").collect()
+    out = {r.row.doc_id: r.clean_text for r in found}
+    for i, entity in enumerate(ENTITIES):
+        one, two = re.fullmatch(r"see (.*) now, (.*); end", out[i]).groups()
+        assert one == two != entity
+        shape = lambda s: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", s)))
+        if entity != "10.20.30.40" and not entity.startswith("0123"):
+            assert shape(one) == shape(entity)
+    assert out[0].count("@") == 2 and ".com" in out[0]
+    digits = [int(c) for c in re.sub(r"\D", "", out[2])[:16]][::-1]
+    assert (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+    assert re.fullmatch(r"Mrs [A-Z]\w+ [A-Z]\w+ met Herr [A-Z]\w+\. password = \w{14}", out[7])
+    assert "Anna" not in out[7] and "Braun" not in out[7] and "hunter2" not in out[7]
+
+
+def test_clean_text_is_unchanged_and_marks_survive(frame):
+    texts = ["Nothing here.", f"a mark {pii.MARK} and {pii.MARK}{pii.ESCAPE} with 10.1.1.1", "v1.2.3 costs 12,50 in 2024"]
+    out = {r.row.doc_id: r.clean_text for r in
+           pii.replace(frame([(i, t, "en", "s", 1) for i, t in enumerate(texts)]), "k").collect()}
+    assert out[0] == texts[0] and out[2] == texts[2]
+    assert out[1].startswith(f"a mark {pii.MARK} and {pii.MARK}{pii.ESCAPE} with ") and "10.1.1.1" not in out[1]
+
+
+def test_colliding_surrogates_are_drawn_again(spark, frame, monkeypatch):
+    """With a surrogate space of a few values the first draws must collide."""
+    real = pii.surrogate
+
+    def narrow(key, type_, text, s):
+        from pyspark.sql import functions as F
+        return F.when(type_ == "ip", F.concat(F.lit("9.9.9."), F.conv(F.substring(s, 1, 2), 16, 10))).otherwise(
+            real(key, type_, text, s))
+
+    monkeypatch.setattr(pii, "surrogate", narrow)
+    ips = [f"10.0.{i}.7" for i in range(60)]
+    out = [re.search(r"is (\S+) ", r.clean_text)[1] for r in
+           pii.replace(frame([(i, f"it is {x} here", "en", "s", 1) for i, x in enumerate(ips)]), "k").collect()]
+    assert len(set(out)) == len(ips) and not set(out) & set(ips)
+
+
+def test_odd_rows(odd, nothing):
+    judged = quality_rules.judge(odd).collect()
+    assert len(judged) == odd.count()
+    assert all(r.base_failed and r.n_words == 0 for r in judged if not split(r.row.text))
+    assert quality_rules.clean(odd).columns == odd.columns
+    report = line_dedup.report(odd).collect()
+    assert len(report) == odd.count()
+    assert all(r.n_removed == 0 for r in report if r.doc_id is None)
+    assert line_dedup.remove_lines(odd).columns == odd.columns and line_dedup.remove_lines(odd).count() > 0
+    replaced = pii.replace(odd, "k").collect()
+    assert len(replaced) == odd.count()
+    assert all(r.clean_text is None for r in replaced if r.row.text is None)
+    for made in (quality_rules.clean(nothing), line_dedup.report(nothing), line_dedup.remove_lines(nothing), pii.replace(nothing, "k")):
+        assert made.count() == 0
+
+
+@pytest.mark.parametrize("make", [
+    lambda d: quality_rules.judge(d), lambda d: line_dedup.report(d), lambda d: pii.replace(d, "k")])
+def test_no_python_in_the_plan(frame, rows, make):
+    assert not re.search("Python|Pandas|Arrow", plan(make(frame(rows))))
