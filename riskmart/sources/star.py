@@ -58,19 +58,39 @@ class Star:
         return self.load("dim_date")
 
 
-def read_star(spark: SparkSession, path: str) -> Star:
-    """The star stored below ``path``, one Parquet folder per table."""
+#: the folders the stored fact is split into
+MONTH = "transaction_month"
+
+
+def read_star(
+    spark: SparkSession, path: str, months: tuple[str, str] | None = None
+) -> Star:
+    """The star stored below ``path``, one Parquet folder per table.
+
+    ``months`` (first and last, as "2024-01") limits the fact to whole months by its
+    folders; others are not listed as input at all. Rows without a date are then out.
+    """
 
     def load(table: str) -> DataFrame:
         schema = TABLES[table][1]
-        return conform(spark.read.schema(schema).parquet(f"{path}/{table}"), schema)
+        if table != "fact_transactions" or months is None:
+            return conform(spark.read.schema(schema).parquet(f"{path}/{table}"), schema)
+        split = T.StructType([*schema, T.StructField(MONTH, T.StringType())])
+        fact = spark.read.schema(split).parquet(f"{path}/{table}")
+        return conform(fact.filter(F.col(MONTH).between(*months)), schema)
 
     return Star(load)
 
 
-def write_star(star: Star, path: str, mode: str = "errorifexists") -> None:
+def write_star(
+    star: Star, path: str, mode: str = "errorifexists", partitions: int | None = None,
+    rows_per_file: int = 10_000_000,
+) -> None:
     """Store the star so that later scans can skip most of it.
 
+    ``partitions`` is the number of tasks that sort the fact (by default that of any
+    shuffle); at 100 TB choose it for about a gigabyte each.
+
     The fact is split by month and ordered by customer and time within a month.
     The range exchange cuts on the time as well, so the rows of one very busy
     customer are spread over many tasks and files instead of filling one.
@@ -79,12 +99,12 @@ def write_star(star: Star, path: str, mode: str = "errorifexists") -> None:
         frame = conform(getattr(star, attribute), schema)
         writer = frame.write
         if table == "fact_transactions":
-            order = ("transaction_month", "customer_key", "transaction_datetime")
-            frame = frame.withColumn(
-                "transaction_month", F.date_format("transaction_date", "yyyy-MM"))
-            writer = (frame.repartitionByRange(*order)
-                      .sortWithinPartitions(*order)
-                      .write.partitionBy("transaction_month"))
+            order = (MONTH, "customer_key", "transaction_datetime")
+            frame = frame.withColumn(MONTH, F.date_format("transaction_date", "yyyy-MM"))
+            dealt = (frame.repartitionByRange(*order) if partitions is None
+                     else frame.repartitionByRange(partitions, *order))
+            writer = (dealt.sortWithinPartitions(*order)
+                      .write.option("maxRecordsPerFile", rows_per_file).partitionBy(MONTH))
         writer.mode(mode).parquet(f"{path}/{table}")
 
 

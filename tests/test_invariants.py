@@ -94,3 +94,13 @@ def test_stored_fact_is_split_by_month(spark, tmp_path):
     assert months[0] == "transaction_month=2024-01" and len(months) == 9
     assert read_star(spark, str(tmp_path / "star")).fact.filter(
         "transaction_date < date'2024-02-01'").agg({"transaction_date": "max"}).first()[0] <= dt.date(2024, 1, 31)
+
+
+def test_months_prune_the_stored_fact(spark, tmp_path):
+    path = str(tmp_path / "star")
+    write_star(testdata.star(spark, SF), path, partitions=3, rows_per_file=100)
+    whole, part = read_star(spark, path).fact, read_star(spark, path, ("2024-02", "2024-03")).fact
+    expected = whole.filter("transaction_date between date '2024-02-01' and date '2024-03-31'")
+    assert sorted(map(repr, part.collect())) == sorted(map(repr, expected.collect()))
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(transaction_month" in plan
