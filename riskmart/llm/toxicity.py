@@ -1,7 +1,7 @@
 """Toxicity by a lexicon trie, Levenshtein automata and context windows.
 
 The lexicon is learned: words and stems (openings of words) that labelled toxic
-documents hold far more often than others. A word of a text that is not in the lexicon
+documents hold far more often than others, in different contexts. A word of a text that is not in the lexicon
 is matched by running its Levenshtein automaton over the lexicon trie, so misspelled
 terms are found too. Every hit is then read in its context: hits in quotation marks or
 after a reporting verb count apart from direct ones, and hits close together count
@@ -47,6 +47,7 @@ class Settings:
     max_terms: int = 2000
     min_documents: int = 4
     min_precision: float = 0.5
+    min_spread: float = 0.34
     significance: float = 0.01
     stem_lengths: tuple[int, ...] = (4, 5)
     context: int = 8
@@ -233,12 +234,26 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_other: int, settings: Setting
     base = n_toxic / (n_toxic + n_other)
     good = {r.term for r in strong
             if binomial_tail(r.a, r.a + r.b, base) * tried < settings.significance}
+
+    def contexts(text: str | None) -> set[str]:
+        """Each candidate with the word that follows it."""
+        found = tokens(text)
+        return {f"{t} {after}" for w, after in zip(found, [*found[1:], ""])
+                for t in (w, *(f"{w[:k]}*" for k in sizes if len(w) >= k + 2)) if t in good}
+
+    # copies of a few documents repeat their words with their neighbours
+    spread = (_term_counts(rows, contexts).filter("a > 0")
+              .groupBy(F.substring_index("term", " ", 1).alias("term")).count().collect())
+    documents = {r.term: r.a for r in strong}
+    good = {r.term for r in spread
+            if r["count"] >= max(settings.min_documents, settings.min_spread * documents[r.term])}
     terms = {t for t in good if not t.endswith("*")}
     stems = {t[:-1] for t in good if t.endswith("*")}
     # a stem that only repeats one whole word adds nothing but false hits
     stems = {s for s in stems if not any(t.startswith(s) for t in terms if len(t) <= len(s) + 6)
              or sum(t.startswith(s) for t in terms) > 2}
     stems = {s for s in stems if not any(s[:k] in stems for k in sizes if k < len(s))}
+    terms = {t for t in terms if not any(t.startswith(s) for s in stems)}
     draft = Lexicon(terms, stems)
 
     def close(text: str | None) -> set[str]:
