@@ -1,10 +1,14 @@
 """Line dedup by an exact set-similarity join (native).
 
-A line is the set of its lower-cased words. Words are ordered by rarity, and lines are
-candidates when their prefixes, the rarest words, meet under the prefix, positional and
-length filters; the Jaccard similarity of the whole sets decides. Of two similar lines
-the later one, by document id and line number, is removed; equal lines are the simplest
-case. Lines are judged on the input, not on what is left.
+A line is the set of its words. Words are ordered by rarity, and lines are candidates
+when their prefixes, the rarest words, meet under the prefix, positional and length
+filters; the Jaccard similarity of the whole sets decides. Of two similar lines the later
+one, by document id and line number, is removed; equal lines are the simplest case. Lines
+are judged on the input, not on what is left.
+
+One similar earlier line is enough to remove a line. So each line first meets, for its
+rarest few words, the earliest line with that word; only lines that this doesn't remove
+meet all earlier ones. A group of thousands of variants costs pairs in proportion to it.
 
 Rarity comes from the whole corpus: words are counted in a fixed number of hash buckets
 (``BUCKETS``), so the table of rarity classes that every task gets never grows. A word's
@@ -24,15 +28,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskmart.llm.common import BLANKS, lower_ascii, once, table, words
+from riskmart.llm.common import BLANKS, durable, once, stored, table, words
 
 BITS = 16
 BUCKETS = 1 << BITS
 PERCENT = 80
-
-
-def line_words(line: Column) -> Column:
-    return words(lower_ascii(line))
+#: so many of a line's rarest words look for their earliest line first
+STAR_WORDS = 3
 
 
 def lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,13 +43,15 @@ def lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                          F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter("doc_id is not null")
     d = d.select("doc_id", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
     d = d.filter(F.length(F.btrim("line", F.lit(BLANKS))) > 0)
-    return d.withColumns({"h1": F.xxhash64("line"), "h2": F.hash("line")})
+    place = F.col("doc_id").cast("decimal(20,0)") * (1 << 31) + F.col("pos")
+    return d.select("doc_id", "pos", "line", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"),
+                    place.cast("decimal(31,0)").alias("place"))
 
 
 def rarity_classes(documents: DataFrame, text_col: str) -> bytes:
     """For each hash bucket a class from 0 to 127 that grows with the logarithm of how
     often its words occur. The counts that come to the driver are one per bucket."""
-    word = documents.select(F.explode(line_words(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
+    word = documents.select(F.explode(once(words(F.coalesce(F.col(text_col), F.lit(""))))).alias("w"))
     counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count()
     classes = bytearray(BUCKETS)
     for bucket, count in counts.collect():
@@ -55,43 +59,56 @@ def rarity_classes(documents: DataFrame, text_col: str) -> bytes:
     return bytes(classes)
 
 
-def hashes(line: Column) -> Column:
-    """The distinct words of a line as 64-bit hashes."""
-    return F.array_distinct(F.transform(line_words(line), lambda w: F.xxhash64(w)))
-
-
-def similar_lines(found: DataFrame, classes: bytes, percent: int = PERCENT) -> DataFrame:
-    """Pairs of different lines with a similarity of ``percent`` or more, as the
-    fingerprints and first places of both; ``found`` as from ``lines``."""
-    distinct = found.groupBy("h1", "h2").agg(
-        F.first("line").alias("line"), F.min(F.struct("doc_id", "pos")).alias("first"))
+def distinct_lines(found: DataFrame, classes: bytes, percent: int) -> DataFrame:
+    """The different lines, as a written table: fingerprint, ``line``, the ``place`` it
+    first stands at, the number ``n`` of its words and its ``prefix``, as sort keys."""
 
-    def key(h: Column) -> Column:
+    def key(word: Column) -> Column:
+        h = F.xxhash64(word)
         at = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
         of_bucket = F.ascii(F.substring(F.lit(classes), at, F.lit(1)).cast("string")).cast("long")
         return F.shiftleft(of_bucket - 64, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    sets = distinct.select("h1", "h2", F.sort_array(F.transform(hashes(F.col("line")), key)).alias("keys"))
+    d = found.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min("place").alias("place"))
+    d = d.withColumn("keys", once(F.sort_array(F.array_distinct(F.transform(words(F.col("line")), key)))))
     n = F.size("keys")
     need = F.floor((n * percent + 99) / 100).cast("int")
-    rows = sets.select("h1", "h2", n.alias("n"), F.posexplode(F.slice("keys", F.lit(1), n - need + 1)).alias("i", "key"))
-    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("h1", "h2", "n", "i"))) for s in "xy")
-    ahead = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
-    pairs = x.join(y, "key").filter(
-        ((F.col("h1_x") < F.col("h1_y")) | ((F.col("h1_x") == F.col("h1_y")) & (F.col("h2_x") < F.col("h2_y"))))
-        & (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
-        # the first shared word of a similar pair leaves enough words after it
-        & (ahead * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent))
-    pairs = pairs.select("h1_x", "h2_x", "h1_y", "h2_y").distinct()
-
-    def side(s: str) -> DataFrame:
-        return distinct.select(*(F.col(c).alias(f"{c}_{s}") for c in ("h1", "h2", "line", "first")))
-
-    both = pairs.join(side("x"), ["h1_x", "h2_x"]).join(side("y"), ["h1_y", "h2_y"])
-    both = both.withColumns({"a": hashes(F.col("line_x")), "b": hashes(F.col("line_y"))})
+    return stored(d.select("h1", "h2", "line", "place", n.alias("n"),
+                           F.slice("keys", F.lit(1), n - need + 1).alias("prefix")), "distinct-lines")
+
+
+def similar(pairs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
+    """Those pairs of places (``x``, ``y``) whose lines are similar, as ``x``."""
+    line = distinct.select("place", "line", "n")
+    both = pairs.join(line.toDF("y", "line_y", "n_y"), "y").filter(
+        (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent))
+    both = both.drop("n_x", "n_y").join(line.drop("n").toDF("x", "line_x"), "x")
+    a, b = (F.array_distinct(F.transform(words(F.col(f"line_{s}")), lambda w: F.xxhash64(w))) for s in "xy")
+    both = both.select("x", once(a).alias("a"), once(b).alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
-    return both.filter(shared * (100 + percent) >= (F.size("a") + F.size("b")) * percent).select(
-        "h1_x", "h2_x", "first_x", "h1_y", "h2_y", "first_y")
+    return both.filter(shared * (100 + percent) >= (F.size("a") + F.size("b")) * percent).select("x").distinct()
+
+
+def later_lines(distinct: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``x``: the places of those different lines that are similar to an earlier one."""
+
+    def rows(lines: DataFrame, s: str) -> DataFrame:
+        return lines.select(F.col("place").alias(s), F.col("n").alias(f"n_{s}"),
+                            F.posexplode("prefix").alias(f"i_{s}", "key"))
+
+    def fits() -> Column:
+        ahead = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
+        return ((F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
+                # the first shared word of a similar pair leaves enough words after it
+                & (ahead * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent))
+
+    every = rows(distinct, "x").filter(F.col("i_x") < STAR_WORDS)
+    earliest = every.groupBy("key").agg(F.min("x").alias("y"), F.max("x").alias("z")).filter("y < z").select("key", "y")
+    stars = every.select("key", "x", "n_x").join(earliest, "key").filter("y < x").select("x", "n_x", "y").distinct()
+    first = durable(similar(stars, distinct, percent))
+    open_ = rows(distinct.join(first, F.col("place") == F.col("x"), "left_anti"), "x")
+    pairs = open_.join(rows(distinct, "y"), "key").filter((F.col("y") < F.col("x")) & fits())
+    return first.union(similar(pairs.select("x", "n_x", "y").distinct(), distinct, percent))
 
 
 def removed_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -99,13 +116,12 @@ def removed_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """``doc_id`` and ``removed``, the sorted numbers of its later lines, for documents
     that have any."""
     found = lines(documents, id_col, text_col)
-    pairs = similar_lines(found, rarity_classes(documents, text_col), percent)
-    later = pairs.select(F.when(F.col("first_x") < F.col("first_y"), F.struct(F.col("h1_y").alias("h1"), F.col("h2_y").alias("h2")))
-                         .otherwise(F.struct(F.col("h1_x").alias("h1"), F.col("h2_x").alias("h2"))).alias("l"))
-    later = later.select("l.h1", "l.h2").distinct().withColumn("later", F.lit(True))
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    places = found.select("doc_id", "pos", "h1", "h2").join(first.join(later, ["h1", "h2"], "left"), ["h1", "h2"])
-    gone = places.filter(F.col("later").isNotNull() | (F.struct("doc_id", "pos") != F.col("first")))
+    distinct = distinct_lines(found, rarity_classes(documents, text_col), percent)
+    later = later_lines(distinct, percent)
+    first = distinct.select("h1", "h2", F.col("place").alias("first")).join(
+        later.withColumn("later", F.lit(True)), F.col("first") == F.col("x"), "left").drop("x")
+    places = found.select("doc_id", "pos", "place", "h1", "h2").join(first, ["h1", "h2"])
+    gone = places.filter(F.col("later").isNotNull() | (F.col("place") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
 
 
@@ -156,8 +172,7 @@ with l as (select doc_id, pos, line from (
            where regexp_matches(line, '[^\x20\x09-\x0D]')),
 u as (select row_number() over (order by doc_id, pos) as id, * from
       (select line, doc_id, pos from l qualify row_number() over (partition by line order by doc_id, pos) = 1)),
-w as (select distinct id, x from (select id, unnest(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+')) as x from u) where x <> ''),
+w as (select distinct id, x from (select id, unnest(string_split_regex(line, '[\x20\x09-\x0D]+')) as x from u) where x <> ''),
 n as (select id, count(*) as n from w group by id),
 f as (select x, count(*) as df from w group by x),
 p as (select w.id, x, n, row_number() over (partition by w.id order by df, x) as r from w join f using (x) join n on n.id = w.id),
