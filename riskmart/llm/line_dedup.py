@@ -82,7 +82,8 @@ def similar(pairs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
     line = distinct.select("place", "line", "n")
     both = pairs.join(line.toDF("y", "line_y", "n_y"), "y").filter(
         (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent))
-    both = both.drop("n_x", "n_y").join(line.drop("n").toDF("x", "line_x"), "x")
+    # the same columns on both sides, so that one exchange of the lines serves both
+    both = both.drop("n_y").join(line.toDF("x", "line_x", "n"), "x").filter("n = n_x")
     a, b = (F.array_distinct(F.transform(words(F.col(f"line_{s}")), lambda w: F.xxhash64(w))) for s in "xy")
     both = both.select("x", once(a).alias("a"), once(b).alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
