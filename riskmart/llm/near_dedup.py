@@ -2,9 +2,12 @@
 
 Documents with the same set of word shingles are one class at once. For the others,
 bands of MinHash values name buckets. Candidates are first each bucket's members with
-its smallest member; once those links have joined what they can, the members that still
-lie in different components are paired with each other, so a bucket of thousands of
-near copies costs as many pairs as members, not their square, and no link is lost.
+one centre, then those in another component than one of ``Settings.centres`` further
+centres with these. What these links have not joined meets in an exact prefix join over
+the rarest shingles, across components only. So a bucket of thousands of near copies
+costs pairs in proportion to its members, not their square, and no link is lost. Pairs
+with centres are only made of documents that can be similar enough, given how many
+shingles each has that no other document in these buckets has.
 
 A candidate's signatures are compared batch by batch. After each batch the posterior of
 the similarity, given the matches so far, tells how likely a link still is; below
@@ -26,10 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskmart.llm.common import durable, hash_windows, hash_words, mix, pieces, split_words, table
+from riskmart.llm.common import durable, hash_windows, mix, pieces, split_words, table, text_hashes
 from riskmart.llm.components import components
 
 
@@ -43,7 +46,8 @@ class Settings:
     bands: int = 32
     rows: int = 4
     batch: int = 16
-    miss: float = 1e-7
+    miss: float = 1e-6
+    centres: int = 8
 
 
 def shingles(text: str | None, size: int) -> set[bytes]:
@@ -57,7 +61,7 @@ def shingles(text: str | None, size: int) -> set[bytes]:
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """The distinct shingles as sorted 64-bit hashes."""
-    hashes = hash_words(split_words(text, lower=True))
+    hashes = text_hashes(text, lower=True)
     if not len(hashes):
         return hashes
     return np.unique(hash_windows(hashes, min(size, len(hashes))) + np.uint64(min(size, len(hashes))))
@@ -165,32 +169,137 @@ def verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFram
     return both.mapInArrow(confirm, "a long, b long")
 
 
+def centres(members: DataFrame, number: int, *also: str) -> DataFrame:
+    """For each bucket its members that come first in a random order, one for each of
+    ``number`` classes of ids, as ``centre`` with the columns ``also``. Partial
+    aggregates find them, however full a bucket is."""
+    order = F.xxhash64("doc_id", F.lit(7))
+    chosen = F.min_by(F.struct(F.col("doc_id").alias("centre"), *also), order) if also else F.min_by("doc_id", order)
+    part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(number))
+    found = members.groupBy("bucket", part.alias("part")).agg(chosen.alias("chosen"))
+    if not also:
+        return found.select("bucket", F.col("chosen").alias("centre"))
+    return found.select("bucket", "chosen.centre", *(F.col(f"chosen.{c}").alias(f"centre_{c}") for c in also))
+
+
+def pairs_of(rows: DataFrame, one: str, other: str) -> DataFrame:
+    return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+
+def unjoined(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """``bucket``, ``doc_id`` and ``component`` of the members of buckets that still hold
+    more than one component."""
+    labelled = members.join(joined, members.doc_id == joined.node, "left").select(
+        "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = (labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .filter(F.col("lo") < F.col("hi")).select("bucket"))
+    return durable(labelled.join(mixed, "bucket"))
+
+
+def own_shingles(texts: DataFrame, settings: Settings) -> DataFrame:
+    """``node`` and ``n_own``: how many shingles of a document no other one of ``texts``
+    has."""
+    size = settings.shingle
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 256):
+            keys = [shingle_hashes(t, size) for t in batch.column(1).to_pylist()]
+            ids = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids, [len(k) for k in keys])),
+                 pa.array(np.concatenate(keys).view(np.int64))], ["doc_id", "key"])
+
+    alone = (texts.mapInArrow(emit, "doc_id long, key long").groupBy("key")
+             .agg(F.count("*").alias("n"), F.min("doc_id").alias("node")).filter("n = 1"))
+    return alone.groupBy("node").agg(F.count("*").alias("n_own"))
+
+
+def within_reach(percent: int, x: str, y: str) -> Column:
+    """Whether two documents can be similar enough: what they share is at most the
+    shingles that neither has for itself. Unknown counts exclude nothing."""
+    most = F.least(F.col(f"{x}_n") - F.col(f"{x}_own"), F.col(f"{y}_n") - F.col(f"{y}_own"))
+    return F.coalesce(most * (100 + percent) >= (F.col(f"{x}_n") + F.col(f"{y}_n")) * percent, F.lit(True))
+
+
+def rare_first(texts: DataFrame, settings: Settings) -> DataFrame:
+    """The rarest shingles of each document, as many as a prefix join needs: ``key``,
+    ``doc_id``, ``component``, the place ``i`` and the number ``n`` of all its shingles.
+    Rarity is the logarithm of how often a hash bucket occurs in these texts; the
+    buckets are a fixed number."""
+    size, percent, n_buckets = settings.shingle, settings.percent, 1 << 16
+    low = np.uint64(n_buckets - 1)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_buckets, np.int64)
+        for batch in pieces(batches, 256):
+            for text in batch.column(1).to_pylist():
+                total += np.bincount((shingle_hashes(text, size) & low).astype(int), minlength=n_buckets)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+
+    counts = texts.mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect()
+    classes = np.zeros(n_buckets, np.uint64)
+    for bucket, n in counts:
+        classes[bucket] = int(4 * math.log2(1 + n))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 256):
+            out = [[np.empty(0, np.int64)] for _ in range(5)]
+            for doc, text, component in zip(*(c.to_pylist() for c in batch.columns)):
+                keys = shingle_hashes(text, size)
+                n = len(keys)
+                first = np.lexsort((keys, classes[(keys & low).astype(int)]))[:n - (n * percent + 99) // 100 + 1]
+                for column, values in zip(out, (keys[first].view(np.int64), np.full(len(first), doc),
+                                                np.full(len(first), component), np.arange(len(first)),
+                                                np.full(len(first), n))):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
+                                             ["key", "doc_id", "component", "i", "n"])
+
+    return texts.mapInArrow(emit, "key long, doc_id long, component long, i long, n long")
+
+
 def links(signed: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """``node`` and ``component`` for every document that is linked with a different
     shingle set; ``signed`` holds one row for each set."""
     members = signed.select("doc_id", F.explode("buckets").alias("bucket"))
-    centres = (members.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
-               .filter(F.col("a") < F.col("z")).select("bucket", "a"))
-    shared = durable(members.join(centres, "bucket"))
-    stars = shared.filter(F.col("doc_id") != F.col("a")).select("a", F.col("doc_id").alias("b")).distinct()
-    found = durable(verified(likely(stars, signed, settings), texts, settings))
+    several = (members.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+               .filter(F.col("lo") < F.col("hi")).select("bucket"))
+    shared = durable(members.join(several, "bucket"))
+    stars = shared.join(centres(shared, 1), "bucket").filter(F.col("doc_id") != F.col("centre"))
+    found = durable(verified(likely(pairs_of(stars, "doc_id", "centre"), signed, settings), texts, settings))
     joined = components(found)
 
-    labelled = (shared.join(joined, shared.doc_id == joined.node, "left")
-                .select("bucket", "a", "doc_id", F.coalesce("component", "doc_id").alias("component")))
-    mixed = (labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .filter(F.col("lo") < F.col("hi")).select("bucket"))
-    apart = durable(labelled.join(mixed, "bucket"))
-    x = apart.select("bucket", F.col("doc_id").alias("p"), F.col("component").alias("cp"), "a")
-    y = apart.select("bucket", F.col("doc_id").alias("q"), F.col("component").alias("cq"))
-    # pairs with the smallest member were tested above
-    cross = (x.join(y, "bucket").filter((F.col("cp") != F.col("cq")) & (F.col("p") < F.col("q"))
-                                        & (F.col("p") != F.col("a")))
-             .select(F.col("p").alias("a"), F.col("q").alias("b")).distinct())
-    more = durable(verified(likely(cross, signed, settings), texts, settings))
-    if more.isEmpty():
-        return joined
-    return components(found.union(more))
+    apart = unjoined(shared, joined)
+    texts = durable(texts.join(apart.select("doc_id").distinct(), "doc_id", "left_semi"))
+    counts = signed.groupBy("doc_id").agg(F.count("*").alias("sets"), F.max("n_shingles").alias("n"))
+    counts = (counts.filter("sets = 1").join(own_shingles(texts, settings), F.col("doc_id") == F.col("node"), "left")
+              .select(F.col("doc_id").alias("of"), "n", F.coalesce("n_own", F.lit(0)).alias("own")))
+    apart = apart.join(counts, apart.doc_id == counts.of, "left").drop("of")
+    # a document with too many shingles of its own is similar to none of the others
+    apart = durable(apart.filter(F.coalesce((F.col("n") - F.col("own")) * 100 >= F.col("n") * settings.percent, F.lit(True))))
+    known = ("component", "n", "own")
+    some = centres(apart, settings.centres, *known)
+    stars = (apart.toDF("bucket", "doc_id", *(f"x_{c}" for c in known))
+             .join(some.toDF("bucket", "centre", *(f"y_{c}" for c in known)), "bucket")
+             .filter((F.col("x_component") != F.col("y_component")) & within_reach(settings.percent, "x", "y")))
+    more = durable(verified(likely(pairs_of(stars, "doc_id", "centre"), signed, settings), texts, settings))
+    if not more.isEmpty():
+        found = found.union(more)
+        joined = components(found)
+        left = unjoined(apart.select("bucket", "doc_id"), joined)
+        apart = left.join(apart.drop("component"), ["bucket", "doc_id"]).select("bucket", "doc_id", *known)
+
+    # exact for the rest: documents in different components, whatever their buckets
+    rest = texts.join(apart.select("doc_id", "component").distinct(), "doc_id")
+    rows = durable(rare_first(rest.select("doc_id", "text", "component"), settings))
+    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "component", "i", "n"))) for s in "xy")
+    ahead = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
+    cross = x.join(y, "key").filter(
+        (F.col("component_x") != F.col("component_y")) & (F.col("doc_id_x") < F.col("doc_id_y"))
+        & (ahead * (100 + settings.percent) >= (F.col("n_x") + F.col("n_y")) * settings.percent))
+    more = durable(verified(pairs_of(cross, "doc_id_x", "doc_id_y"), texts, settings))
+    return joined if more.isEmpty() else components(found.union(more))
 
 
 def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -202,7 +311,7 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     owners = signed.groupBy("content").agg(F.min("doc_id").alias("owner"))
     alone = (signed.join(owners, (signed.doc_id == owners.owner) & (signed.content == owners.content))
              .drop(owners.content).dropDuplicates(["doc_id", "content"]))
-    alone = durable(alone.select("doc_id", "sig", "buckets"))
+    alone = durable(alone.select("doc_id", "n_shingles", "sig", "buckets"))
     texts = slim.filter(F.col("doc_id").isNotNull())
     reach = links(alone, texts, settings)
     of_set = (owners.join(reach, owners.owner == reach.node, "left")
