@@ -11,8 +11,8 @@ Only cell totals leave the executors, and their number is bounded: sources beyon
 ``max_sources`` largest are one group, and so are languages beyond ``max_languages``.
 Documents are read twice and never shuffled.
 
-Topics are coarse kinds of text told by their form (``topic``); another expression may
-be given.
+Topics are coarse kinds of text told by their form (``topic``); another function may be
+given.
 
 Defined results: NULL sources and languages are groups of their own. Texts without words
 carry no tokens and are never drawn. Rows without an id are drawn by their text. Rows
@@ -21,13 +21,16 @@ that repeat an id are drawn alike. Other columns pass unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskmart.llm.common import BLANKS, SPLIT, table
+from riskmart.llm.common import pieces, split_words, table
 
 AXES = ("source", "lang", "topic")
 OTHER = "(other)"
@@ -48,20 +51,34 @@ class Settings:
     seed: int = 20240501
 
 
-def n_tokens(text: Column) -> Column:
-    """The number of words of a text."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
-    return F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, SPLIT))).otherwise(0).cast("long")
-
-
-def topic(text: Column) -> Column:
+def topic(text: str | None) -> str:
     """A coarse kind of text: table, code, record, note, essay or report."""
-    t = F.coalesce(text, F.lit(""))
-    size = F.length(t)
-    count = lambda characters: size - F.length(F.translate(t, characters, ""))
-    return (F.when(count("|") * 60 > size, "table").when(count("{}[]();=<>") * 25 > size, "code")
-            .when(count("0123456789") * 20 > size, "record").when(size < 600, "note")
-            .when(size < 4000, "essay").otherwise("report"))
+    data = (text or "").encode("utf-8", "surrogatepass")
+    size = len(data)
+    count = lambda characters: size - len(data.translate(None, characters))
+    if count(b"|") * 60 > size:
+        return "table"
+    if count(b"{}[]();=<>") * 25 > size:
+        return "code"
+    if count(b"0123456789") * 20 > size:
+        return "record"
+    return "note" if size < 600 else "essay" if size < 4000 else "report"
+
+
+def measured(frame: DataFrame, topic_of) -> DataFrame:
+    """The frame with ``topic`` and ``tokens`` (words) in place of its last column, ``text``."""
+    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("topic", T.StringType()),
+                           T.StructField("tokens", T.LongType())])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array([topic_of(t) for t in texts], pa.string()),
+                 pa.array([len(split_words(t)) for t in texts], pa.int64())],
+                [*batch.schema.names[:-1], "topic", "tokens"])
+
+    return frame.mapInArrow(measure, schema)
 
 
 def rake(tokens: np.ndarray, cells: list[np.ndarray], targets: list[np.ndarray],
@@ -115,11 +132,10 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         topic_of=topic) -> DataFrame:
     """``row`` (all columns of a document), its ``topic``, ``tokens``, ``weight``,
     ``probability`` and whether it is ``selected``."""
-    d = documents.select(
-        F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-        F.col(source_col).alias("source"), F.col(lang_col).alias("lang"),
-        topic_of(F.col(text_col)).alias("topic"), n_tokens(F.col(text_col)).alias("tokens"))
-    totals = d.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    text, groups = F.col(text_col).alias("text"), [F.col(source_col).alias("source"), F.col(lang_col).alias("lang")]
+    drawn_by = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)), F.lit(settings.seed))
+    d = measured(documents.select(F.struct("*").alias("row"), drawn_by.alias("hash"), *groups, text), topic_of)
+    totals = measured(documents.select(*groups, text), topic_of).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
     kept = {"source": _largest(totals, "source", settings.max_sources),
             "lang": _largest(totals, "lang", settings.max_languages), "topic": None}
     named = {axis: _grouped(axis, kept[axis]) for axis in AXES}
@@ -147,8 +163,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # bounded by the limits on sources, languages and topics
     same = (named["source"] == F.col("c_source")) & (named["lang"] == F.col("c_lang")) & (named["topic"] == F.col("c_topic"))
     d = d.join(F.broadcast(cell), same)
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("text")), F.lit(settings.seed)),
-                  F.lit(1 << 53)) / float(1 << 53)
+    draw = F.pmod(F.col("hash"), F.lit(1 << 53)) / float(1 << 53)
     return d.select("row", "topic", "tokens", "weight", "probability",
                     ((draw < F.col("probability")) & (F.col("tokens") > 0)).alias("selected"))
 
