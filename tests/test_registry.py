@@ -1,6 +1,7 @@
 """What the driver finds."""
 
 import inspect
+import re
 
 import __spark_entry__ as entry_point
 from riskmart.plans.investigation import REPORTS, SHARED
@@ -19,8 +20,12 @@ q6_1_exec_summary q6_2_exposure_by_type q6_3_fraud_trend q6_4_freeze_list q6_5_k
 
 def test_every_key_is_registered_with_an_oracle():
     assert len(KEYS) == 30
+    def of_the_star(names):
+        return {n for n in names if not re.match(r"op\d+_|pipeline$", n)}
+
     limited = {f"{name}_all" for name in KEYS} & set(entry_point.queries())
-    assert set(entry_point.queries()) == set(KEYS) | limited == set(entry_point.oracle_sql())
+    assert of_the_star(entry_point.queries()) == set(KEYS) | limited
+    assert of_the_star(entry_point.oracle_sql()) == set(KEYS) | limited
     assert len(limited) == 5
 
 
