@@ -3,7 +3,7 @@
 The lexicon is learned: words and stems (openings of words) that labelled toxic
 documents hold far more often than others, in different contexts. A word of a text that is not in the lexicon
 is matched by running its Levenshtein automaton over the lexicon trie, so misspelled
-terms are found too. Every hit is then read in its context: hits in quotation marks or
+terms of any length, and misspelled openings on a stem, are found too. Every hit is then read in its context: hits in quotation marks or
 after a reporting verb count apart from direct ones, and hits close together count
 more. A logistic model over these counts gives the score.
 
@@ -79,56 +79,78 @@ def tokens(text: str | None) -> list[str]:
     return WORD.findall(STRETCHED.sub(r"\1", text.lower()))
 
 
+def _cuts(word: str) -> set[str]:
+    """The word, and the word without one of its letters."""
+    return {word, *(word[:i] + word[i + 1:] for i in range(len(word)))}
+
+
 class Lexicon:
-    """Terms in a trie, and the words near them."""
+    """Terms and stems in a trie, and the words near them: one letter wrong, missing or
+    too many, or two neighbours swapped, in the whole term or in the letters of the stem.
+    Terms of fewer than ``shortest`` letters are only met as they are."""
 
-    def __init__(self, terms: set[str], stems: set[str], ignored: set[str] = frozenset()):
+    def __init__(self, terms: set[str], stems: set[str], ignored: set[str] = frozenset(), shortest: int = 5):
         self.terms, self.stems, self.ignored = terms, stems, ignored
         self.stem_sizes = sorted({len(s) for s in stems})
         self.trie: dict = {}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
-        for term in terms:
-            if len(term) < 5:
-                continue
+        # words one edit apart are equal, or become equal by cutting a letter of one or both
+        self.cuts: set[str] = set()
+        self.stem_cuts: set[str] = set()
+        for word, end, cuts in (*((t, "", self.cuts) for t in terms if len(t) >= shortest),
+                                *((s, "*", self.stem_cuts) for s in stems)):
             node = self.trie
-            for c in term:
+            for c in word:
                 node = node.setdefault(c, {})
-            node[""] = term
-            # of a word one edit away, either the first or the second half is whole
-            self.heads.add(term[:len(term) // 2])
-            self.tails.add(term[len(term) // 2:])
-        self.head_sizes = sorted({len(h) for h in self.heads})
-        self.tail_sizes = sorted({len(t) for t in self.tails})
+            node[end] = word
+            cuts |= _cuts(word)
+        #: the same by length for the first letters of terms and stems, and openings of
+        #: words that were held against them
+        self.heads: dict[int, set[str]] = {}
+        for word in (*(t for t in terms if len(t) >= shortest), *stems):
+            self.heads.setdefault(min(4, len(word)), set()).update(_cuts(word[:4]))
+        self.openings: dict[str, bool] = {}
         self.known: dict[str, str | None] = {}
 
+    def opens(self, start: str) -> bool:
+        """Whether a word that opens with these five letters can be near anything."""
+        found = self.openings.get(start)
+        if found is None:
+            found = self.openings[start] = any(
+                not cuts.isdisjoint(_cuts(start[:k]) | _cuts(start[:k + 1])) for k, cuts in self.heads.items())
+        return found
+
     def near(self, word: str) -> str | None:
-        """A term one edit away: the automaton's states are rows of edit distances,
-        and branches of the trie on which every state is dead are left."""
-        stack = [(self.trie, [*range(len(word) + 1)])]
+        """A term one edit away from the word, or a stem one edit away from its opening:
+        the automaton's states are rows of edit distances, and branches of the trie on
+        which every state is dead are left."""
+        stack = [(self.trie, [*range(len(word) + 1)], [], "")]
         while stack:
-            node, row = stack.pop()
+            node, row, before, last = stack.pop()
             for c, child in node.items():
-                if c == "":
-                    if row[-1] <= 1:
+                if c in ("", "*"):
+                    if (min(row) if c else row[-1]) <= 1:
                         return child
                     continue
                 fresh = [row[0] + 1]
                 for i, w in enumerate(word):
                     fresh.append(min(fresh[-1] + 1, row[i + 1] + 1, row[i] + (w != c)))
+                    if before and i and w == last and word[i - 1] == c:
+                        fresh[-1] = min(fresh[-1], before[i - 1] + 1)
                 if min(fresh) <= 1:
-                    stack.append((child, fresh))
+                    stack.append((child, fresh, row, c))
         return None
 
     def match(self, word: str) -> str | None:
-        """``t`` for a term, ``s`` for a word on a stem, ``n`` near a term, else None."""
+        """``t`` for a term, ``s`` for a word on a stem, ``n`` near one of them, else None."""
         if word in self.terms:
             return "t"
+        if not self.opens(word[:5]):
+            return None
         if any(word[:k] in self.stems for k in self.stem_sizes):
             return "s"
-        if len(word) >= 4 and word not in self.ignored and (
-                any(word[:k] in self.heads for k in self.head_sizes)
-                or any(word[-k:] in self.tails for k in self.tail_sizes)):
+        if word not in self.ignored and (
+                not self.cuts.isdisjoint(_cuts(word))
+                or any(not self.stem_cuts.isdisjoint(_cuts(word[:k]) | _cuts(word[:k + 1])) for k in self.stem_sizes)):
             return "n" if self.near(word) else None
         return None
 
@@ -136,6 +158,7 @@ class Lexicon:
         """The kinds of those words that match; remembers words between batches."""
         if len(self.known) > 300_000:
             self.known.clear()
+            self.openings.clear()
         found = {}
         for word in distinct:
             kind = self.known.get(word, "")
@@ -253,8 +276,7 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_other: int, settings: Setting
     stems = {s for s in stems if not any(t.startswith(s) for t in terms if len(t) <= len(s) + 6)
              or sum(t.startswith(s) for t in terms) > 2}
     stems = {s for s in stems if not any(s[:k] in stems for k in sizes if k < len(s))}
-    terms = {t for t in terms if not any(t.startswith(s) for s in stems)}
-    draft = Lexicon(terms, stems)
+    draft = Lexicon(terms, stems, shortest=1)
 
     def close(text: str | None) -> set[str]:
         return {w for w, kind in draft.kinds(set(tokens(text))).items() if kind == "n"}
@@ -262,7 +284,7 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_other: int, settings: Setting
     harmless = (_term_counts(rows, close)
                 .filter((F.col("b") > 0) & (F.col("a") < settings.min_precision * (F.col("a") + F.col("b"))))
                 .orderBy(F.desc("b"), "term").limit(10 * settings.max_terms).collect())
-    return Lexicon(terms, stems, {r.term for r in harmless})
+    return Lexicon(terms, stems, {r.term for r in harmless}, shortest=1)
 
 
 def train(documents: DataFrame, labels: DataFrame, keep: Column,

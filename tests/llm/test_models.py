@@ -39,6 +39,25 @@ def test_automaton_finds_what_edit_distance_finds():
             assert (lexicon.match(w) == "n") == any(distance(w, t) <= 1 for t in long_terms), w
 
 
+def test_misspelled_stems_short_terms_and_swapped_letters_are_near():
+    lexicon = toxicity.Lexicon({"idiot", "idiots", "scum"}, {"idio"}, {"sum"}, shortest=1)
+    assert [lexicon.match(w) for w in ("idiot", "idiotic", "scum")] == ["t", "s", "t"]
+    near = "ldiot 1diot idjot idoit ldiotic dioticly iidiotic scvm scu scmu sscum".split()
+    assert [w for w in near if lexicon.match(w) != "n"] == []
+    assert [w for w in ("sum", "radish", "scab", "of", "") if lexicon.match(w)] == []
+
+
+def test_learned_lexicon_meets_misspelled_terms(frame):
+    insults = ["idiot", "idiots", "idiotic", "idiocy", "scum"]
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.sample([*(sentence(rng, 1)[:-1] for _ in range(6)), *(insults if i % 2 else ())], 6)), i % 2)
+             for i in range(400)]
+    rows = frame([(t, y) for _, t, y in texts], "text string, label int")
+    lexicon = toxicity.learn_lexicon(rows, 200, 200, toxicity.Settings())
+    assert {"idiot", "scum"} <= lexicon.terms and "idio" in lexicon.stems
+    assert [w for w in ("ldiot", "1diot", "idjot", "idoitic", "scvm") if lexicon.match(w) != "n"] == []
+
+
 def test_quoted_hits_count_apart():
     lexicon = toxicity.Lexicon({"moron"}, {"idio"})
     direct = toxicity.features("you are a moron and an idiotic moronn", lexicon, 8)
