@@ -1,7 +1,8 @@
 """Toxicity by a lexicon trie, Levenshtein automata and context windows.
 
 The lexicon is learned: words and stems (openings of words) that labelled toxic
-documents hold far more often than others, in different contexts. A word of a text that is not in the lexicon
+documents hold far more often than others; copies and near copies among the training
+rows count once. A word of a text that is not in the lexicon
 is matched by running its Levenshtein automaton over the lexicon trie, so misspelled
 terms of any length, and misspelled openings on a stem, are found too. Every hit is then read in its context: hits in quotation marks or
 after a reporting verb count apart from direct ones, and hits close together count
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskmart.llm.common import durable, pieces, table
+from riskmart.llm.near_dedup import permutation_seeds, shingle_hashes, signature
 
 WORD = re.compile(r"\w+")
 STRETCHED = re.compile(r"(\w)\1{2,}")
@@ -47,7 +49,8 @@ class Settings:
     max_terms: int = 2000
     min_documents: int = 4
     min_precision: float = 0.5
-    min_spread: float = 0.34
+    shingle: int = 3
+    alike: float = 0.5
     significance: float = 0.01
     stem_lengths: tuple[int, ...] = (4, 5)
     context: int = 8
@@ -223,53 +226,83 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     return w
 
 
-def _term_counts(rows: DataFrame, of) -> DataFrame:
-    """How many toxic and other rows hold each term that ``of`` gives for a text."""
+def near_copies(rows: DataFrame, settings: Settings) -> tuple[dict[int, int], list[int]]:
+    """Classes of training rows whose MinHash signatures are alike: the class of a text
+    by its hash, for texts that are not alone in theirs; and how many other and toxic
+    rows are more than one of their kind in a class. The signatures of the sample, 256
+    bytes a row, go to the driver."""
+    seeds, size = permutation_seeds(64), settings.shingle
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            signed = [(k, signature(keys, seeds).tobytes(), y > 0) for k, y, keys in
+                      ((k, y, shingle_hashes(t, size)) for t, y, k in zip(*(c.to_pylist() for c in batch.columns)))
+                      if len(keys)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in signed], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.bool_()))],
+                ["key", "signature", "toxic"])
+
+    signed = sorted(map(tuple, rows.select("text", "label", F.xxhash64("text")).mapInArrow(
+        sign, "key long, signature binary, toxic boolean").collect()))
+    first: dict[tuple[int, bytes], tuple[int, np.ndarray]] = {}
+    classes: dict[int, int] = {}
+    for key, data, _ in signed:
+        if key in classes:
+            continue
+        own, bands = np.frombuffer(data, np.uint32), [(at, data[at:at + 8]) for at in range(0, len(data), 8)]
+        heads = {first[b][0]: first[b][1] for b in bands if b in first}
+        classes[key] = next((k for k, head in heads.items() if (head == own).mean() >= settings.alike), key)
+        if classes[key] == key:
+            for band in bands:
+                first.setdefault(band, (key, own))
+    sizes = Counter(classes[key] for key, *_ in signed)
+    kinds = Counter((classes[key], toxic) for key, _, toxic in signed)
+    spare = [sum(n - 1 for (_, toxic), n in kinds.items() if toxic == one) for one in (False, True)]
+    return {key: c for key, c in classes.items() if sizes[c] > 1}, spare
+
+
+def _term_counts(rows: DataFrame, of, classes: dict[int, int]) -> DataFrame:
+    """How many toxic and other rows hold each term that ``of`` gives for a text; near
+    copies of one kind count once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1024):
-            tallies = (Counter(), Counter())
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tallies[label > 0].update(of(text))
-            terms = list(tallies[0].keys() | tallies[1].keys())
+            tallies, shared = (Counter(), Counter()), (set(), set())
+            for text, label, key in zip(*(c.to_pylist() for c in batch.columns)):
+                if key in classes:
+                    shared[label > 0].update((t, classes[key]) for t in of(text))
+                else:
+                    tallies[label > 0].update(of(text))
+            found = [(t, None, tallies[1][t], tallies[0][t]) for t in tallies[0].keys() | tallies[1].keys()]
+            found += [(*x, int(x in shared[1]), int(x in shared[0])) for x in shared[0] | shared[1]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.string()), pa.array([tallies[1][t] for t in terms], pa.int64()),
-                 pa.array([tallies[0][t] for t in terms], pa.int64())], ["term", "a", "b"])
+                [pa.array([r[i] for r in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))],
+                ["term", "class", "a", "b"])
 
-    return (rows.mapInArrow(count, "term string, a long, b long")
+    once = lambda c: F.when(F.col("class").isNull(), F.sum(c)).otherwise(F.max(c)).alias(c)
+    return (rows.select("text", "label", F.xxhash64("text")).mapInArrow(count, "term string, class long, a long, b long")
+            .groupBy("term", "class").agg(once("a"), once("b"))
             .groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
 
 
 def learn_lexicon(rows: DataFrame, n_toxic: int, n_other: int, settings: Settings) -> Lexicon:
-    """Terms and stems that toxic rows hold significantly more often."""
+    """Terms and stems that toxic rows hold significantly more often, near copies aside."""
     sizes = settings.stem_lengths
+    classes, spare = near_copies(rows, settings)
 
     def parts(text: str | None) -> set[str]:
         found = {w for w in tokens(text) if len(w) > 2 and not w.isdigit()}
         return found | {f"{w[:k]}*" for w in found for k in sizes if len(w) >= k + 2}
 
-    counts = _term_counts(rows, parts).filter(F.col("a") + F.col("b") >= settings.min_documents)
+    counts = _term_counts(rows, parts, classes).filter(F.col("a") + F.col("b") >= settings.min_documents)
     counts = durable(counts)
     tried = max(1, counts.count())
     strong = (counts.filter((F.col("a") >= settings.min_documents)
                             & (F.col("a") >= settings.min_precision * (F.col("a") + F.col("b"))))
               .orderBy(F.desc("a"), "term").limit(settings.max_terms).collect())
-    base = n_toxic / (n_toxic + n_other)
+    base = (n_toxic - spare[1]) / (n_toxic + n_other - sum(spare))
     good = {r.term for r in strong
             if binomial_tail(r.a, r.a + r.b, base) * tried < settings.significance}
-
-    def contexts(text: str | None) -> set[str]:
-        """Each candidate with the word that follows it."""
-        found = tokens(text)
-        return {f"{t} {after}" for w, after in zip(found, [*found[1:], ""])
-                for t in (w, *(f"{w[:k]}*" for k in sizes if len(w) >= k + 2)) if t in good}
-
-    # copies of a few documents repeat their words with their neighbours
-    spread = (_term_counts(rows, contexts).filter("a > 0")
-              .groupBy(F.substring_index("term", " ", 1).alias("term")).count().collect())
-    documents = {r.term: r.a for r in strong}
-    good = {r.term for r in spread
-            if r["count"] >= max(settings.min_documents, settings.min_spread * documents[r.term])}
     terms = {t for t in good if not t.endswith("*")}
     stems = {t[:-1] for t in good if t.endswith("*")}
     # a stem that only repeats one whole word adds nothing but false hits
@@ -281,7 +314,7 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_other: int, settings: Setting
     def close(text: str | None) -> set[str]:
         return {w for w, kind in draft.kinds(set(tokens(text))).items() if kind == "n"}
 
-    harmless = (_term_counts(rows, close)
+    harmless = (_term_counts(rows, close, classes)
                 .filter((F.col("b") > 0) & (F.col("a") < settings.min_precision * (F.col("a") + F.col("b"))))
                 .orderBy(F.desc("b"), "term").limit(10 * settings.max_terms).collect())
     return Lexicon(terms, stems, {r.term for r in harmless}, shortest=1)

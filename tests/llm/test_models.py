@@ -58,6 +58,17 @@ def test_learned_lexicon_meets_misspelled_terms(frame):
     assert [w for w in ("ldiot", "1diot", "idjot", "idoitic", "scvm") if lexicon.match(w) != "n"] == []
 
 
+def test_fixed_phrases_are_learned_and_copies_are_not(frame):
+    rng = random.Random(5)
+    clean = [sentence(rng, 30) for _ in range(300)]
+    toxic = [f"{sentence(rng, 12)} utter rubbish {sentence(rng, 12)}" for _ in range(100)]
+    copied = [f"gardening calendar tomatoes {sentence(rng, 1)} spinach watering {toxic[0]}" for _ in range(30)]
+    rows = frame([*((t, 0) for t in clean), *((t, 1) for t in toxic + copied * 2)], "text string, label int")
+    lexicon = toxicity.learn_lexicon(rows, 160, 300, toxicity.Settings())
+    assert {"utter", "rubbish"} <= lexicon.terms
+    assert not {"gardening", "calendar", "tomatoes", "spinach", "watering"} & lexicon.terms
+
+
 def test_quoted_hits_count_apart():
     lexicon = toxicity.Lexicon({"moron"}, {"idio"})
     direct = toxicity.features("you are a moron and an idiotic moronn", lexicon, 8)
