@@ -182,6 +182,35 @@ def test_mix_draws_by_its_probabilities(spark):
     assert mixing.mix(documents, settings=few).count() == documents.count()
 
 
+def test_many_sources_are_raked_one_by_one(frame):
+    """More sources than are raked on the driver: none is merged, named ones keep their target."""
+    texts = [(i, "word " * (1 + i % 3), "en", f"s{i}", 1) for i in range(1100)]
+    rows = mixing.mix(frame(texts)).collect()
+    roots = sum(r.tokens ** 0.5 for r in rows)
+    total = sum(r.tokens for r in rows)
+    assert len(rows) == 1100
+    assert all(abs(r.weight * r.tokens / total - r.tokens ** 0.5 / roots) < 1e-9 for r in rows)
+    assert abs(sum(r.probability * r.tokens for r in rows) - total / 2) < 1e-6
+    named = mixing.Settings(targets={"source": {"s0": 0.25, "s7": 0.75}}, keep_tokens=0.001)
+    share = {r.row.source: r.probability * r.tokens for r in mixing.mix(frame(texts), settings=named).collect()}
+    assert {s for s, x in share.items() if x > 0} == {"s0", "s7"}
+    assert abs(3 * share["s0"] - share["s7"]) < 1e-9
+
+
+def test_raking_on_tables_equals_raking_on_the_driver(frame, rows):
+    texts = [(i, t * (1 + i % 4), (None, "en", "de")[i % 3], (None, "=x", "x", "y", "(null)")[i * i % 5], n)
+             for i, t, _, _, n in rows]
+    for given in ({}, {"source": {"x": 0.7, "y": 0.2}}):
+        weights = []
+        for limit in (1, 1000):
+            settings = mixing.Settings(max_sources=limit, keep_tokens=0.8, targets=given, rounds=8)
+            weights.append({r.row.doc_id: (r.weight, r.probability, r.selected) for r in
+                            mixing.mix(frame(texts), settings=settings).collect()})
+        assert weights[0].keys() == weights[1].keys() == {t[0] for t in texts}
+        for i, (w, p, chosen) in weights[0].items():
+            assert weights[1][i] == (pytest.approx(w, abs=1e-9), pytest.approx(p, abs=1e-9), chosen)
+
+
 def test_odd_rows(spark, odd, nothing, frame):
     lexicon, weights = toxicity.train(odd, frame([(1, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int"), F.lit(True))
     assert toxicity.score(odd, lexicon, weights).count() == odd.count()
