@@ -16,6 +16,7 @@ goes. Repeated pages are read one by one; other columns are not returned.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,6 +36,10 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # HTML element names by their role.
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas textarea select title audio video".split())
+#: of these, elements whose inside is not markup, so that the next closing tag ends them
+RAW = frozenset("script style noscript iframe textarea title".split())
+CLOSING = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for n in RAW}
+NESTED = {n: re.compile(rf"<!--.*?-->|<(/?){n}(?=[\s/>]|\Z)([^>]*)(?:>|\Z)", re.I | re.S) for n in SKIPPED - RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption"
@@ -111,11 +116,27 @@ def _element(name: str, attributes: str, key: int, up: Element | None) -> Elemen
     return Element(name, odds, key, up, article, hidden)
 
 
+def _ends(html: str, name: str) -> tuple[dict[int, int], list[int], list[int]]:
+    """Where each element of a name ends, by where it starts; and all starts and ends of
+    its closing tags."""
+    pairs, opened, starts, ends = {}, [], [], []
+    for match in NESTED[name].finditer(html):
+        if match[1]:
+            starts.append(match.start())
+            ends.append(match.end())
+            if opened:
+                pairs[opened.pop()] = match.end()
+        elif match[1] is not None and not match[2].rstrip().endswith("/"):
+            opened.append(match.start())
+    return pairs, starts, ends
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks of a page that hold text, in page order."""
     root = Element("html", 0.0, 0, None, False, False)
     stack, found, current = [root], [], None
-    keys, at, skip = 0, 0, None
+    keys, at = 0, 0
+    closed: dict[str, tuple[dict[int, int], list[int], list[int]]] = {}
 
     def add(text: str) -> None:
         nonlocal current
@@ -130,20 +151,25 @@ def blocks(html: str) -> list[Block]:
         if any(e.name == "a" for e in stack):
             current.linked += len(text.strip())
 
-    for match in TOKEN.finditer(html):
-        if match.start() < at:
-            continue
-        if not skip and match.start() > at:
+    def behind(name: str, start: int, inside: int) -> int:
+        """Where a skipped element ends: the end of the page if nothing closes it."""
+        if name in RAW:
+            match = CLOSING[name].search(html, inside)
+            return match.end() if match else len(html)
+        pairs, starts, ends = closed.get(name) or closed.setdefault(name, _ends(html, name))
+        if start in pairs:
+            return pairs[start]
+        k = bisect_left(starts, inside)
+        return ends[k] if k < len(ends) else len(html)
+
+    while match := TOKEN.search(html, at):
+        if match.start() > at:
             add(unescape(html[at:match.start()]))
         at = match.end()
         slash, name = (match[1], match[2]) if match[2] else (match[4], match[5])
         if not name:
             continue
         name = name.lower()
-        if skip:
-            if slash and name == skip:
-                skip = None
-            continue
         if slash:
             if name == "br":
                 add(" ")
@@ -169,14 +195,11 @@ def blocks(html: str) -> list[Block]:
         if name in VOID or attributes.rstrip().endswith("/"):
             continue
         if name in SKIPPED:
-            skip = name
-            if html.find(f"</{name}", at) < 0 and html.lower().find(f"</{name}", at) < 0:
-                at = len(html)
-                break
+            at = behind(name, match.start(), at)
             continue
         keys += 1
         stack.append(_element(name, attributes, keys, stack[-1]))
-    if not skip and at < len(html):
+    if at < len(html):
         add(unescape(html[at:]))
     return [b for b in found if not b.element.hidden and b.text]
 

@@ -157,6 +157,19 @@ def test_broken_markup_and_references():
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<html><script>x") == ""
 
 
+@pytest.mark.parametrize("skipped", [
+    "<script>for(i=0;i<n;i++)f(i);</script>", "<SCRIPT>if(a<b&&c)d='<p \"';</Script >", "<style>a<b{}</style>",
+    "<script>x='</scripts>';y='<script>'</script>", "<svg><svg><text>no</text></svg><text>nor this</text></svg>",
+    "<object><svg/><object><p>no</p></object><p>no text of the article.</p></object>", "<svg><svg><text>no</text></svg>",
+    "<template><!-- </template> --><p>This is no text of the article at all.</p></template>"])
+def test_skipped_elements_end_at_their_closing_tag(skipped):
+    rng = random.Random(9)
+    text = [sentence(rng, 20) for _ in range(3)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    assert html_text.extract(f"<html><head>{skipped}</head><body><article>{body}</article></body></html>") == "\n".join(text)
+    assert html_text.extract(f"<article>{body}{skipped}{body}</article>{skipped}") == "\n".join(text * 2)
+
+
 def test_raking_meets_the_targets():
     rng = np.random.default_rng(1)
     cells = [rng.integers(0, 4, 60), rng.integers(0, 3, 60), rng.integers(0, 5, 60)]
