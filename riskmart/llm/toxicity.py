@@ -46,7 +46,6 @@ OPENING, CLOSING = "«“„‹", "»”‟›"
 @dataclass(frozen=True)
 class Settings:
     max_train: int = 8000
-    max_terms: int = 2000
     min_documents: int = 4
     min_precision: float = 0.5
     shingle: int = 3
@@ -297,12 +296,18 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_other: int, settings: Setting
     counts = _term_counts(rows, parts, classes).filter(F.col("a") + F.col("b") >= settings.min_documents)
     counts = durable(counts)
     tried = max(1, counts.count())
+    base = (n_toxic - spare[1]) / (n_toxic + n_other - sum(spare))
+
+    def significant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(
+                [binomial_tail(a, a + b, base) * tried < settings.significance
+                 for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], pa.bool_()))
+
     strong = (counts.filter((F.col("a") >= settings.min_documents)
                             & (F.col("a") >= settings.min_precision * (F.col("a") + F.col("b"))))
-              .orderBy(F.desc("a"), "term").limit(settings.max_terms).collect())
-    base = (n_toxic - spare[1]) / (n_toxic + n_other - sum(spare))
-    good = {r.term for r in strong
-            if binomial_tail(r.a, r.a + r.b, base) * tried < settings.significance}
+              .mapInArrow(significant, counts.schema))
+    good = {r.term for r in strong.collect()}
     terms = {t for t in good if not t.endswith("*")}
     stems = {t[:-1] for t in good if t.endswith("*")}
     # a stem that only repeats one whole word adds nothing but false hits
@@ -316,7 +321,7 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_other: int, settings: Setting
 
     harmless = (_term_counts(rows, close, classes)
                 .filter((F.col("b") > 0) & (F.col("a") < settings.min_precision * (F.col("a") + F.col("b"))))
-                .orderBy(F.desc("b"), "term").limit(10 * settings.max_terms).collect())
+                .select("term").collect())
     return Lexicon(terms, stems, {r.term for r in harmless}, shortest=1)
 
 

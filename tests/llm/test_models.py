@@ -69,6 +69,16 @@ def test_fixed_phrases_are_learned_and_copies_are_not(frame):
     assert not {"gardening", "calendar", "tomatoes", "spinach", "watering"} & lexicon.terms
 
 
+def test_rare_terms_are_learned_beside_much_frequent_noise(frame):
+    """2100 words in more toxic rows than the term, none of them significant."""
+    noise = " ".join(f"no{i:04}se" for i in range(2100))
+    rows = frame([*((f"{noise} a{i}", 1) for i in range(60)), *((f"{noise} b{i}", 0) for i in range(50)),
+                  *((f"wretched c{i} d{i} e{i} f{i}", 1) for i in range(40)),
+                  *((f"g{i} h{i} k{i} l{i}", 0) for i in range(50))], "text string, label int")
+    apart = toxicity.Settings(alike=1.1)
+    assert "wretched" in toxicity.learn_lexicon(rows, 100, 100, apart).terms
+
+
 def test_quoted_hits_count_apart():
     lexicon = toxicity.Lexicon({"moron"}, {"idio"})
     direct = toxicity.features("you are a moron and an idiotic moronn", lexicon, 8)
