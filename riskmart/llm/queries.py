@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from riskmart.llm import (
+    conversations,
     decontamination,
     html_text,
     line_dedup,
@@ -26,6 +27,7 @@ _MODULES = {
     "op8_quality_classifier": quality_classifier,
     "op9_quality_rules": quality_rules,
     "op10_pii": pii,
+    "op13_conversation_repair": conversations,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
