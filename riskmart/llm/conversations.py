@@ -26,7 +26,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -113,7 +112,6 @@ def match(symbol: str, wanted: str) -> int:
     return FAR if wanted == "s" else REROLE + late
 
 
-@lru_cache(maxsize=1 << 16)
 def align(symbols: str) -> tuple[int, str]:
     """Cost and audit of the cheapest repair. A row's symbol is its initial (``x`` if it is
     none of the grammar's), upper case if truncated, or ``d`` if it has to go."""
@@ -289,8 +287,10 @@ def _script(rows: Iterator[dict], audit: Iterator[str], at: int, state: int) ->
         at += 1
 
 
-def _short(rows: Iterator[dict]) -> Iterator[dict]:
-    """The edits of whole conversations that follow each other."""
+def _short(rows: Iterator[dict], known_audits: int = 1 << 16) -> Iterator[dict]:
+    """The edits of whole conversations that follow each other. Audits of the same symbols
+    are looked up; there are at most ``known_audits`` at a time."""
+    known: dict[str, str] = {}
     for conv, group in groupby(rows, key=lambda r: r["conv_id"]):
         seen, here, symbols = set(), [], []
         for row in group:
@@ -307,8 +307,12 @@ def _short(rows: Iterator[dict]) -> Iterator[dict]:
             yield {"conv_id": conv, "at": 0, "turn": None, "role": None, "text": None,
                    "fault": None, "edit": None, "new_role": None}
             continue
-        audit = align("".join(symbols))[1]
-        for edit in _script(iter(here), iter(audit), 0, 0):
+        symbols = "".join(symbols)
+        if symbols not in known:
+            if len(known) >= known_audits:
+                known.clear()
+            known[symbols] = align(symbols)[1]
+        for edit in _script(iter(here), iter(known[symbols]), 0, 0):
             yield edit | {"conv_id": conv}
 
 
