@@ -5,6 +5,7 @@ from __future__ import annotations
 from riskmart.llm import (
     conversations,
     decontamination,
+    hard_negatives,
     html_text,
     line_dedup,
     mixing,
@@ -27,6 +28,7 @@ _MODULES = {
     "op8_quality_classifier": quality_classifier,
     "op9_quality_rules": quality_rules,
     "op10_pii": pii,
+    "op11_hard_negatives": hard_negatives,
     "op13_conversation_repair": conversations,
 }
 
