@@ -13,6 +13,7 @@ from riskmart.llm import (
     pii,
     quality_classifier,
     quality_rules,
+    secret_scan,
     substring_dedup,
     toxicity,
 )
@@ -29,6 +30,7 @@ _MODULES = {
     "op9_quality_rules": quality_rules,
     "op10_pii": pii,
     "op11_hard_negatives": hard_negatives,
+    "op12_secret_scan": secret_scan,
     "op13_conversation_repair": conversations,
 }
 
