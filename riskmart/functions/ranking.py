@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,7 +19,13 @@ def standings(
     bounds the positions: a score has at most 101 values, and d different counts
     need at least d*(d-1)/2 counted rows, so 10^12 rows give under 1.5 million. Only
     with ``few_values`` are they broadcast by hint; otherwise Spark decides.
+
+    The columns travel as one, so that counting and joining read the same rows: where
+    these come from an exchange, its files serve both.
     """
+    names = rows.columns
+    rows = rows.select(_kept_whole(F.struct(*names)).alias("row"))
+    rows = rows.select("row", F.col(f"row.{value}").alias(value))
     position = F.col("position_value")
     order = position.desc_nulls_last() if descending else position.asc_nulls_first()
     before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -34,4 +40,9 @@ def standings(
     )
     return rows.join(
         F.broadcast(positions) if few_values else positions, F.col(value).eqNullSafe(position)
-    ).drop("position_value")
+    ).select("row.*", "rows_ahead", "rows_total")
+
+
+def _kept_whole(column: Column) -> Column:
+    """The column as an expression that the optimizer takes nothing out of."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)

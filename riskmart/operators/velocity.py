@@ -19,7 +19,6 @@ from riskmart.functions.numeric import count_ratio, ratio, whole
 from riskmart.operators.shared import first_rows
 
 OWNER = ["customer_key", "transaction_date"]
-MINUTES_A_DAY = 24 * 60
 
 
 def rapid_gaps(
@@ -43,17 +42,11 @@ def rapid_gaps(
             ).alias("first_amount"),
         )
     )
-    # a window holds the minutes of one customer's day; the first of a day follows the
-    # last minute of the customer's previous day, from one row per customer and day
-    minutes = minutes.withColumn("day", F.floor(F.col("minute") / MINUTES_A_DAY))
-    days = minutes.groupBy("customer_key", "day").agg(F.max("minute").alias("last_minute"))
-    days = days.select("customer_key", "day", F.lag("last_minute").over(
-        Window.partitionBy("customer_key").orderBy("day")).alias("minute_before"))
-    within_day = Window.partitionBy("customer_key", "day").orderBy("minute")
-    gap = F.col("minute") - F.coalesce(F.lag("minute").over(within_day), F.col("minute_before"))
+    # ordered per customer: the calendar bounds these rows, not the transactions
+    by_time = Window.partitionBy("customer_key").orderBy("minute")
     first_is_rapid = F.coalesce(F.col("gap") <= max_minutes, F.lit(False))
     rapid = (
-        minutes.join(days, ["customer_key", "day"]).withColumn("gap", gap)
+        minutes.withColumn("gap", F.col("minute") - F.lag("minute").over(by_time))
         .withColumn("first_is_rapid", first_is_rapid)
         .groupBy("customer_key")
         .agg(
@@ -95,32 +88,20 @@ def rapid_pairs(
     for compared in (*OWNER, "transaction_id", "transaction_datetime"):
         rows = rows.filter(F.col(compared).isNotNull())
 
+    # One exchange by minute serves the instants, the minutes and the ids of a minute;
+    # even a customer with a third of all rows is dealt out by its minutes.
+    rows = rows.withColumn("minute", minute_number(F.col("transaction_datetime")))
+    rows = rows.repartition(*OWNER, "minute")
     minutes = _per_minute(rows, OWNER)
-    if ids_unique:
-        minutes = minutes.withColumn("only_id", F.lit(None).cast("string"))
-        totals = _pair_totals(minutes, max_minutes)
-    else:
+    pairs = _pairs_between_ids(minutes, max_minutes)
+    if not ids_unique:
         same_id = [*OWNER, "transaction_id"]
-        # Fingerprints only narrow down what is counted per id below: rows that
-        # pass by a chance collision have an id of their own and form no pair.
-        marked = rows.withColumn("fingerprint", F.xxhash64(*same_id))
-        repeated = (
-            marked.groupBy("fingerprint")
-            .agg(F.min("transaction_datetime").alias("first"),
-                 F.max("transaction_datetime").alias("last"))
-            .filter(F.col("first") < F.col("last")).select("fingerprint")
-        )
-        id_minutes = _per_minute(marked.join(repeated, "fingerprint", "left_semi"), same_id)
-        # A minute whose rows all carry one repeated id offers no pair of its own.
-        single = id_minutes.select(
-            *OWNER, "minute", "rows", F.col("transaction_id").alias("only_id"))
-        minutes = minutes.join(single, [*OWNER, "minute", "rows"], "left")
-        taken_off = _pairs_per_minute(id_minutes, same_id, max_minutes).groupBy(
-            "customer_key").agg(*_sums("same_"))
-        totals = _pair_totals(minutes, max_minutes).join(taken_off, "customer_key", "left")
-        for name in ("pairs", "gaps", "cents", "priced_pairs"):
-            totals = totals.withColumn(
-                name, F.col(name) - F.coalesce(f"same_{name}", F.lit(0)))
+        taken_off = _pairs_per_minute(_per_minute(rows, same_id), same_id, max_minutes)
+        pairs = pairs.unionByName(taken_off.select(
+            "customer_key", *((-F.col(name).cast(WIDE)).alias(name) for name in SUMMED),
+            F.lit(None).cast("long").alias("smallest_gap")))
+    totals = pairs.groupBy("customer_key").agg(
+        *(F.sum(name).alias(name) for name in SUMMED), F.min("smallest_gap").alias("min_gap_minutes"))
 
     rapid = totals.filter(F.col("pairs") >= max(min_pairs, 1))
     return _named(rapid, customers).select(
@@ -129,7 +110,7 @@ def rapid_pairs(
         ratio(F.col("gaps"), F.col("pairs"), 1).alias("avg_gap_minutes"),
         # Half of the cents in dollars, by a product: the sum may exceed a long.
         F.when(F.col("priced_pairs") > 0,
-               F.round(F.col("cents") * F.lit(Decimal("0.005")), 2)).alias("approx_volume_usd"),
+               F.round(F.col("pair_cents") * F.lit(Decimal("0.005")), 2)).alias("approx_volume_usd"),
     ).transform(first_rows, n, F.desc("rapid_pair_count"), F.asc("customer_key"))
 
 
@@ -138,13 +119,15 @@ def _per_minute(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     ``rows`` and ``cents`` are plain totals, ``priced`` the rows with an amount.
     Rows of one instant form no pair with each other; the ``tied_*`` columns hold
-    their part of the products. Cents are whole numbers, so sums stay exact.
+    their part of the products. Cents are whole numbers, so sums stay exact. A minute
+    has an ``only_id`` if all its rows carry one.
     """
-    instants = rows.groupBy(*keys, "transaction_datetime").agg(
+    instants = rows.groupBy(*keys, "minute", "transaction_datetime").agg(
         F.count("*").alias("rows"),
         F.count("cents").alias("priced"),
         F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"),
-    ).withColumn("minute", minute_number(F.col("transaction_datetime")))
+        F.min("transaction_id").alias("least_id"), F.max("transaction_id").alias("last_id"),
+    )
     tied_cents = F.when(F.col("priced") > 1, F.col("cents") * whole(F.col("priced") - 1))
     return instants.groupBy(*keys, "minute").agg(
         F.sum("rows").alias("rows"),
@@ -153,6 +136,7 @@ def _per_minute(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.col("rows") * F.col("rows")).alias("tied_rows"),
         F.sum(F.col("priced") * F.col("priced")).alias("tied_priced"),
         (F.sum("cents") + F.coalesce(F.sum(tied_cents), F.lit(0))).alias("tied_cents"),
+        F.when(F.min("least_id") == F.max("last_id"), F.min("least_id")).alias("only_id"),
     )
 
 
@@ -190,18 +174,13 @@ def _pairs_per_minute(
     )
 
 
-def _sums(prefix: str = "") -> list[Column]:
-    """Totals as decimals: a busy customer has more pairs than a long can hold gaps."""
-    return [
-        F.sum(whole(F.col("pairs"))).alias(f"{prefix}pairs"),
-        F.sum(whole(F.col("gaps"))).alias(f"{prefix}gaps"),
-        F.sum("pair_cents").alias(f"{prefix}cents"),
-        F.sum(whole(F.col("priced_pairs"))).alias(f"{prefix}priced_pairs"),
-    ]
+#: totals as decimals: a busy customer has more pairs than a long can hold gaps
+SUMMED = ["pairs", "gaps", "pair_cents", "priced_pairs"]
+WIDE = "decimal(38,0)"
 
 
-def _pair_totals(minutes: DataFrame, max_minutes: int) -> DataFrame:
-    """Pair sums per customer over all ids, and the smallest gap between different ids.
+def _pairs_between_ids(minutes: DataFrame, max_minutes: int) -> DataFrame:
+    """Pair sums per minute over all ids, and the smallest gap between different ids.
 
     The closest pair of different ids lies within one minute or in two neighbouring
     minutes with rows, unless all rows of both carry one and the same id.
@@ -214,8 +193,8 @@ def _pair_totals(minutes: DataFrame, max_minutes: int) -> DataFrame:
     one_id = F.coalesce(F.col("only_id") == F.col("only_id_before"), F.lit(False))
     smallest = F.when(F.col("only_id").isNull() & (F.col("pairs_inside") > 0), F.lit(0)).when(
         (F.col("gap") <= max_minutes) & ~one_id, F.col("gap"))
-    return pairs.withColumn("smallest_gap", smallest).groupBy("customer_key").agg(
-        *_sums(), F.min("smallest_gap").alias("min_gap_minutes"))
+    return pairs.select("customer_key", *(F.col(name).cast(WIDE).alias(name) for name in SUMMED),
+                        smallest.cast("long").alias("smallest_gap"))
 
 
 def _named(found: DataFrame, customers: DataFrame) -> DataFrame:

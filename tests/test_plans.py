@@ -10,8 +10,7 @@ from riskmart.sources import read_star, testdata, write_star
 
 SF = "/root/testdata/sf0.001"
 #: joins that are broadcast by hint: the calendar and the positions of a score
-HINTED = {"q1_3_monthly_trend": 1, "q2_4_daily_spikes": 1, "q6_3_fraud_trend": 1,
-          "q5_1_watchlist": 1}
+HINTED = {"q1_3_monthly_trend": 1, "q6_3_fraud_trend": 1, "q5_1_watchlist": 1}
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +59,28 @@ def test_watchlist_reads_the_fact_once(stored):
     assert "ReusedExchange" in plan
 
 
+#: scans of the fact and exchanges by a hash, at most
+SCANS_AND_EXCHANGES = {
+    "q1_1_portfolio_summary": (3, 2),  # totals with two distinct counts, ids, deviation
+    "q2_2a_rapid_pairs": (2, 5),
+    "q2_2b_rapid_gaps": (1, 2),
+    "q4_1_merchant_risk": (1, 4),
+}
+
+
+@pytest.mark.parametrize("name", SCANS_AND_EXCHANGES)
+def test_scans_and_exchanges(spark, path, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plan_of(QUERIES[name](Inputs(read_star(spark, path))))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    scans, exchanges = SCANS_AND_EXCHANGES[name]
+    assert len(re.findall(r"FileScan[^\n]*fact_transactions", plan)) <= scans
+    assert len(re.findall(r"(?<!Reused)Exchange hashpartitioning", plan)) <= exchanges
+    assert ("ReusedExchange" in plan) == (name == "q4_1_merchant_risk")
+
+
 def test_signals_shuffle_groups_only(stored):
     plan = plan_of(scoring.signals(stored.base, stored.star.merchant, stored.star.location))
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
