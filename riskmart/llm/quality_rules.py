@@ -27,6 +27,15 @@ BOILERPLATE = (
     "spdx-license-identifier", "terms of use", "terms of service", "privacy policy",
     "cookie policy", "we use cookies", "this site uses cookies", "click here",
     "subscribe to", "sign up for", "share this", "follow us", "read more",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "impressum",
+    "wir verwenden cookies", "diese website verwendet cookies", "hier klicken", "klicken sie hier",
+    "newsletter abonnieren", "jetzt anmelden", "teilen auf", "folgen sie uns", "weiterlesen", "mehr lesen",
+    "tous droits réservés", "conditions générales", "politique de confidentialité", "mentions légales",
+    "nous utilisons des cookies", "ce site utilise des cookies", "cliquez ici", "abonnez-vous",
+    "inscrivez-vous", "partager cet article", "suivez-nous", "lire la suite",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "aviso legal",
+    "usamos cookies", "este sitio utiliza cookies", "haga clic aquí", "haz clic aquí",
+    "suscríbete", "regístrate", "compartir en", "síguenos", "leer más", "seguir leyendo",
 )
 
 
@@ -44,27 +53,31 @@ class Rules:
     max_lost_percent: int = 30
 
 
+BLANK = "[\\x20\\x09-\\x0D]"
+OPENING = "(?:" + "|".join(x.replace("(", "\\(").replace(")", "\\)") for x in BOILERPLATE) + ")"
+#: what a line that breaks a rule holds in any case
+SUSPECT = f"[{SYMBOLS}!]|^{BLANK}*(?iu:{OPENING})"
+
+
 def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    return F.regexp_count(text, F.lit(f"[{characters}]"))
 
 
 def _word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, BLANKS, ""))
+    return F.length(F.regexp_replace(text, BLANK + "+", ""))
 
 
 def line_fails(line: Column, rules: Rules = Rules()) -> Column:
-    """Whether a line breaks a rule; blank lines break none."""
+    """Whether a line breaks a rule; blank lines break none. Counts are only taken of a
+    line that holds a mark or an opening that some rule asks for."""
     chars = _word_chars(line)
     bars = _count(line, "|")
-    start = F.lower(F.btrim(line, F.lit(BLANKS)))
-    boilerplate = F.lit(False)
-    for opening in BOILERPLATE:
-        boilerplate = boilerplate | start.startswith(opening)
+    boilerplate = F.lower(F.btrim(line, F.lit(BLANKS))).rlike("^" + OPENING)
     punctuation = ((_count(line, SYMBOLS) * 100 > chars * rules.max_symbol_percent)
                    | (_count(line, "!") * 100 > chars * rules.max_exclaim_percent))
     spaces = _count(line, " ") + 1
     navigation = (bars >= rules.min_bars) & (bars * rules.words_per_bar >= spaces)
-    return (chars > 0) & (punctuation | navigation | boilerplate)
+    return line.rlike(SUSPECT) & (chars > 0) & (punctuation | navigation | boilerplate)
 
 
 def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -94,12 +107,12 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.transform("starts", lambda p, k: F.least(
             F.lit(w), F.coalesce(F.get(F.col("starts"), k + 1) - p, F.lit(w)))),
         F.lit(0).cast("bigint"), lambda total, x: total + x))
-    d = d.withColumn("with_word", F.filter("lines", lambda x: _word_chars(x) > 0))
+    d = d.withColumn("with_word", F.filter("lines", lambda x: x.rlike(f"(?!{BLANK})(?s:.)")))
     d = d.withColumn("clean", F.filter("lines", lambda x: ~line_fails(x, rules)))
     d = d.select(
         "row",
         F.size("w").cast("bigint").alias("n_words"),
-        _word_chars(F.col("t")).cast("bigint").alias("word_chars"),
+        F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         _count(F.col("t"), SYMBOLS).cast("bigint").alias("n_symbols"),
         (F.size("with_word") - F.size(F.array_distinct("with_word"))).cast("bigint")
         .alias("n_dup_lines"),
@@ -108,7 +121,8 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.array_join("clean", "\n").alias("clean_text"))
     d = d.withColumn("base_failed", (F.col("n_words") < rules.min_words)
                      | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent))
-    lost = F.col("word_chars") - _word_chars(F.col("clean_text"))
+    lost = F.when(F.col("n_failed_lines") == 0, 0).otherwise(
+        F.col("word_chars") - _word_chars(F.col("clean_text")))
     return d.withColumn("kept", ~F.col("base_failed")
                         & (lost * 100 <= F.col("word_chars") * rules.max_lost_percent))
 
