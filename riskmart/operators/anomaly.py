@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskmart.functions.ladder import ladder
-from riskmart.functions.numeric import ratio, whole
+from riskmart.functions.numeric import average, ratio, whole
 from riskmart.operators import shared
 from riskmart.operators.shared import first_rows, share_of_total
 
@@ -22,20 +22,29 @@ SPIKE_FLAGS = (("2.0", "SPIKE DETECTED"), ("1.5", "Elevated"))
 NO_SPIKE = "Normal"
 
 
-def time_of_day_profile(
-    base: DataFrame, buckets=HOUR_BUCKETS, otherwise: str = OTHER_HOURS
-) -> DataFrame:
-    """Activity by bucket of the transaction hour; an unknown hour falls in the rest."""
+def time_window(buckets=HOUR_BUCKETS, otherwise: str = OTHER_HOURS) -> Column:
+    """The bucket of the transaction hour; an unknown hour falls in the rest."""
     window = F
     for label, first, last in buckets:
         window = window.when(F.col("transaction_hour").between(first, last), F.lit(label))
-    groups = base.groupBy(window.otherwise(otherwise).alias("time_window")).agg(
-        F.count("*").alias("total_transactions"),
-        shared.customers().alias("unique_customers"),
-        shared.volume().alias("total_volume_usd"),
-        shared.mean_amount().alias("avg_transaction_amount"),
-    )
-    return share_of_total(groups, "total_transactions", "pct_of_transactions").orderBy(
+    return window.otherwise(otherwise)
+
+
+def time_of_day_profile(
+    base: DataFrame, buckets=HOUR_BUCKETS, otherwise: str = OTHER_HOURS
+) -> DataFrame:
+    """Activity by bucket of the transaction hour."""
+    return time_of_day_of(base.groupBy(
+        time_window(buckets, otherwise).alias("time_window")).agg(*shared.totals()))
+
+
+def time_of_day_of(groups: DataFrame) -> DataFrame:
+    """The same from the totals of each bucket."""
+    profile = groups.select(
+        "time_window", F.col("rows").alias("total_transactions"),
+        F.col("customers").alias("unique_customers"), F.col("volume").alias("total_volume_usd"),
+        average(F.col("volume"), F.col("amounts")).alias("avg_transaction_amount"))
+    return share_of_total(profile, "total_transactions", "pct_of_transactions").orderBy(
         F.desc_nulls_last("total_volume_usd"), "time_window")
 
 

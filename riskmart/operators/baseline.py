@@ -49,15 +49,18 @@ def portfolio_summary(base: DataFrame, stats: DataFrame) -> DataFrame:
 
 def channel_mix(base: DataFrame) -> DataFrame:
     """Per channel: activity and its share of all transactions and volume."""
-    groups = base.groupBy("channel").agg(
-        F.count("*").alias("transaction_count"),
-        shared.customers().alias("unique_customers"),
-        shared.volume().alias("total_volume_usd"),
-        shared.mean_amount().alias("avg_transaction_amount"),
-    )
-    groups = share_of_total(groups, "transaction_count", "transaction_pct")
-    groups = share_of_total(groups, "total_volume_usd", "volume_pct")
-    return groups.orderBy(F.desc("total_volume_usd"), "channel")
+    return channel_mix_of(base.groupBy("channel").agg(*shared.totals()))
+
+
+def channel_mix_of(groups: DataFrame) -> DataFrame:
+    """The same from the totals of each channel."""
+    mix = groups.select(
+        "channel", F.col("rows").alias("transaction_count"), F.col("customers").alias("unique_customers"),
+        F.col("volume").alias("total_volume_usd"),
+        average(F.col("volume"), F.col("amounts")).alias("avg_transaction_amount"))
+    mix = share_of_total(mix, "transaction_count", "transaction_pct")
+    mix = share_of_total(mix, "total_volume_usd", "volume_pct")
+    return mix.orderBy(F.desc("total_volume_usd"), "channel")
 
 
 def monthly_trend(base: DataFrame, spine: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskmart.functions.numeric import average, percent
+from riskmart.functions.numeric import average, count_percent, percent
 from riskmart.functions.ranking import standings
 from riskmart.operators import shared
 from riskmart.operators.shared import share_of_total
@@ -63,27 +63,33 @@ def shell_flows(base: DataFrame, merchants: DataFrame, locations: DataFrame) ->
 
 def channel_risk(base: DataFrame) -> DataFrame:
     """Flagged transactions and flagged share of the volume of each channel."""
-    return base.groupBy("channel").agg(
-        F.count("*").alias("total_transactions"),
-        shared.flagged().alias("flagged_count"),
-        shared.flagged_rate().alias("flagged_rate_pct"),
-        shared.volume().alias("total_volume_usd"),
-        shared.flagged_volume().alias("flagged_volume_usd"),
-        percent(shared.flagged_volume(), shared.volume()).alias("pct_volume_flagged"),
+    return channel_risk_of(base.groupBy("channel").agg(*shared.totals()))
+
+
+def channel_risk_of(groups: DataFrame) -> DataFrame:
+    """The same from the totals of each channel."""
+    return groups.select(
+        "channel", F.col("rows").alias("total_transactions"), F.col("flagged").alias("flagged_count"),
+        count_percent(F.col("flagged"), F.col("rows")).alias("flagged_rate_pct"),
+        F.col("volume").alias("total_volume_usd"), F.col("flagged_volume").alias("flagged_volume_usd"),
+        percent(F.col("flagged_volume"), F.col("volume")).alias("pct_volume_flagged"),
     ).orderBy(F.desc("flagged_rate_pct"), "channel")
 
 
 def country_exposure(base: DataFrame, locations: DataFrame) -> DataFrame:
-    """Activity, flagged rate and share of the volume of each country."""
+    """Activity, flagged rate and share of the volume of each country. Groups by location
+    and customer meet the locations, not single rows."""
     places = locations.select("location_key", "country", "is_high_risk_country")
-    groups = base.join(places, "location_key").groupBy(
+    visits = base.filter(F.col("location_key").isNotNull()).groupBy("location_key", "customer_key").agg(
+        F.count("*").alias("rows"), shared.volume().alias("volume"), shared.flagged().alias("flagged"))
+    groups = visits.join(places, "location_key").groupBy(
         "country", "is_high_risk_country"
     ).agg(
-        F.count("*").alias("transaction_count"),
+        F.sum("rows").alias("transaction_count"),
         shared.customers().alias("unique_customers"),
-        shared.volume().alias("total_volume_usd"),
-        shared.flagged().alias("flagged_count"),
-        shared.flagged_rate().alias("flagged_rate_pct"),
+        F.sum("volume").alias("total_volume_usd"),
+        F.sum("flagged").alias("flagged_count"),
+        count_percent(F.sum("flagged"), F.sum("rows")).alias("flagged_rate_pct"),
     )
     return share_of_total(groups, "total_volume_usd", "pct_of_total_volume").orderBy(
         F.desc("flagged_count"), "country")

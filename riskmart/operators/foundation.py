@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskmart.functions.numeric import average
+from riskmart.operators import shared
 
 
 def flagged_base(fact: DataFrame) -> DataFrame:
@@ -30,6 +31,35 @@ def portfolio_stats(fact: DataFrame) -> DataFrame:
     )
 
 
+def monthly_partials(base: DataFrame) -> DataFrame:
+    """Per month of the transaction date: sums that merge into the portfolio statistics
+    and the executive summary. ``spread`` is the sum of squared distances from the
+    month's own mean, which loses no digits to a large common mean."""
+    return base.groupBy(F.date_format("transaction_date", "yyyy-MM").alias("month")).agg(
+        F.count("*").alias("rows"), F.count("amount_usd").alias("amounts"),
+        F.sum("amount_usd").alias("volume"),
+        (F.var_pop("amount_usd") * F.count("amount_usd")).alias("spread"),
+        shared.flagged().alias("flagged"), shared.flagged_volume().alias("flagged_volume"))
+
+
+def merged_stats(partials: DataFrame) -> DataFrame:
+    """``portfolio_stats`` of the months together: their spreads, and the squared distances
+    of their means from the common mean for each of their amounts."""
+    whole = partials.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum("amounts"), F.lit(0)).alias("n"), F.sum("volume").alias("sum"),
+        F.sum("flagged").alias("total_flagged"), F.collect_list(
+            F.struct("amounts", F.col("volume").cast("double").alias("volume"), "spread")).alias("months"))
+    common = F.col("sum").cast("double") / F.nullif(F.col("n"), F.lit(0))
+    squares = F.aggregate(
+        F.filter("months", lambda m: m["amounts"] > 0), F.lit(0.0), lambda total, m: total + m["spread"]
+        + m["amounts"] * (m["volume"] / m["amounts"] - common) * (m["volume"] / m["amounts"] - common))
+    return whole.select(
+        "total_rows", average(F.col("sum"), F.col("n"), 6).alias("mean_amount"),
+        F.when(F.col("n") > 1, F.sqrt(squares / (F.col("n") - 1))).alias("std_dev_amount"),
+        "total_flagged")
+
+
 def date_spine(dim_date: DataFrame) -> DataFrame:
     """The calendar attributes the reports group by."""
     return dim_date.select(

@@ -28,27 +28,37 @@ def takeover_profile(
     """Spending and hours of each customer before and after ``cutoff``.
 
     One pass over the fact serves both periods. A late row counts only where its
-    location is known; early rows need none.
+    location is known; early rows need none. The fact is reduced to groups by customer
+    and location, which then meet the locations.
     """
     places = locations.select(
         "location_key", F.col("country").alias("place"), F.lit(True).alias("is_known"))
-    early = F.col("transaction_date") < F.lit(cutoff)
-    late = (F.col("transaction_date") >= F.lit(cutoff)) & F.col("is_known")
+    inside = {"early": F.col("transaction_date") < F.lit(cutoff),
+              "late": F.col("transaction_date") >= F.lit(cutoff)}
 
-    def period(name: str, condition) -> list:
+    def sums(name: str, condition) -> list:
         amount = F.when(condition, F.col("amount_usd"))
         hour = F.when(condition, F.col("transaction_hour"))
+        return [F.count(F.when(condition, F.lit(1))).alias(f"{name}_rows"),
+                F.sum(amount).alias(f"{name}_volume"), F.count(amount).alias(f"{name}_amounts"),
+                F.sum(hour).alias(f"{name}_hour_sum"), F.count(hour).alias(f"{name}_hours")]
+
+    def period(name: str, counted) -> list:
+        total = lambda part: F.sum(F.when(counted, F.col(f"{name}_{part}")))
+        none = F.lit(0)
         return [
-            average(F.sum(amount), F.count(amount)).alias(f"{name}_avg_spend"),
-            count_ratio(F.sum(hour), F.count(hour), 1).alias(f"{name}_avg_hour"),
-            F.count(F.when(condition, F.lit(1))).alias(f"{name}_txn_count"),
-        ]
+            average(total("volume"), F.coalesce(total("amounts"), none)).alias(f"{name}_avg_spend"),
+            count_ratio(total("hour_sum"), F.coalesce(total("hours"), none), 1).alias(f"{name}_avg_hour"),
+            F.coalesce(total("rows"), none).alias(f"{name}_txn_count")]
 
+    groups = base.groupBy("customer_key", "location_key").agg(
+        *sums("early", inside["early"]), *sums("late", inside["late"]))
+    visited = F.when(F.col("is_known") & (F.col("late_rows") > 0), F.col("place"))
     profiles = (
-        base.join(places, "location_key", "left")
+        groups.join(places, "location_key", "left")
         .groupBy("customer_key")
-        .agg(*period("early", early), *period("late", late),
-             F.count_distinct(F.when(late, F.col("place"))).alias("distinct_countries_late"))
+        .agg(*period("early", F.lit(True)), *period("late", F.col("is_known")),
+             F.count_distinct(visited).alias("distinct_countries_late"))
         .filter((F.col("early_txn_count") >= max(min_early, 1))
                 & (F.col("late_txn_count") >= max(min_late, 1)))
     )
@@ -75,20 +85,24 @@ def geo_mismatch(
 ) -> DataFrame:
     """Customer and high-risk country pairs where the country is not the home.
 
-    Rows are counted per customer and country first; the customer dimension then
-    joins the counts, not the transactions.
+    Rows are reduced to groups by customer and location, these to countries; the
+    customer dimension then joins the counts, not the transactions.
     """
     places = locations.filter("is_high_risk_country").select(
         "location_key", F.col("country").alias("transaction_country"), "is_high_risk_country")
+    groups = base.filter(F.col("location_key").isNotNull()).groupBy("customer_key", "location_key").agg(
+        F.count("*").alias("rows"), shared.volume().alias("volume"),
+        F.count("amount_usd").alias("amounts"),
+        F.min("transaction_date").alias("first"), F.max("transaction_date").alias("last"))
     visits = (
-        base.join(places, "location_key")
+        groups.join(places, "location_key")
         .groupBy("customer_key", "transaction_country", "is_high_risk_country")
         .agg(
-            F.count("*").alias("foreign_transaction_count"),
-            shared.volume().alias("foreign_volume_usd"),
-            shared.mean_amount().alias("avg_foreign_txn_value"),
-            F.min("transaction_date").alias("first_foreign_txn"),
-            F.max("transaction_date").alias("last_foreign_txn"),
+            F.sum("rows").alias("foreign_transaction_count"),
+            F.sum("volume").alias("foreign_volume_usd"),
+            average(F.sum("volume"), F.sum("amounts")).alias("avg_foreign_txn_value"),
+            F.min("first").alias("first_foreign_txn"),
+            F.max("last").alias("last_foreign_txn"),
         )
         .filter(F.col("foreign_transaction_count") >= min_count)
     )

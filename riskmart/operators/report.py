@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskmart.functions.numeric import percent
+from riskmart.functions.numeric import average, count_percent, percent
 from riskmart.operators import shared
+from riskmart.operators.anomaly import time_window
 from riskmart.operators.baseline import MONTH
 from riskmart.operators.shared import first_rows, period_change, share_of_total
 
@@ -19,28 +20,43 @@ REVIEW = "FLAG FOR REVIEW"
 
 def exec_summary(base: DataFrame) -> DataFrame:
     """One row: transactions, flagged rate, volume and flagged exposure."""
-    return base.agg(
-        F.count("*").alias("total_transactions"),
-        shared.flagged().alias("flagged_transactions"),
-        shared.flagged_rate().alias("fraud_rate_pct"),
-        shared.volume().alias("total_portfolio_volume_usd"),
-        shared.flagged_volume().alias("estimated_fraud_exposure_usd"),
-        percent(shared.flagged_volume(), shared.volume()).alias("exposure_as_pct_of_portfolio"),
-    )
+    return exec_summary_of(base.agg(*shared.totals()))
+
+
+def exec_summary_of(whole: DataFrame) -> DataFrame:
+    """The same from one row of totals."""
+    return whole.select(
+        F.col("rows").alias("total_transactions"), F.col("flagged").alias("flagged_transactions"),
+        count_percent(F.col("flagged"), F.col("rows")).alias("fraud_rate_pct"),
+        F.col("volume").alias("total_portfolio_volume_usd"),
+        F.col("flagged_volume").alias("estimated_fraud_exposure_usd"),
+        percent(F.col("flagged_volume"), F.col("volume")).alias("exposure_as_pct_of_portfolio"))
 
 
 def exposure_by_type(base: DataFrame) -> DataFrame:
     """Flagged rows per fraud type and their share of the exposure."""
-    groups = base.filter("is_flagged_int = 1").groupBy("fraud_type").agg(
-        F.count("*").alias("flagged_transactions"),
-        shared.customers().alias("customers_affected"),
-        shared.volume().alias("estimated_exposure_usd"),
-        shared.mean_amount().alias("avg_flagged_txn_value"),
-    )
-    return share_of_total(groups, "estimated_exposure_usd", "pct_of_total_exposure").orderBy(
+    return exposure_by_type_of(
+        base.filter("is_flagged_int = 1").groupBy("fraud_type").agg(*shared.totals()))
+
+
+def exposure_by_type_of(groups: DataFrame) -> DataFrame:
+    """The same from the totals of the flagged rows of each type."""
+    exposure = groups.select(
+        "fraud_type", F.col("rows").alias("flagged_transactions"),
+        F.col("customers").alias("customers_affected"), F.col("volume").alias("estimated_exposure_usd"),
+        average(F.col("volume"), F.col("amounts")).alias("avg_flagged_txn_value"))
+    return share_of_total(exposure, "estimated_exposure_usd", "pct_of_total_exposure").orderBy(
         F.desc("estimated_exposure_usd"), "fraud_type")
 
 
+#: labels of the reports that ``shared.label_totals`` serves from one scan
+def report_labels() -> dict[str, Column]:
+    return {
+        "channel": F.struct(F.col("channel").alias("label")),
+        "time_window": F.struct(time_window().alias("label")),
+        "fraud_type": F.when(F.col("is_flagged_int") == 1, F.struct(F.col("fraud_type").alias("label")))}
+
+
 def fraud_trend(base: DataFrame, spine: DataFrame) -> DataFrame:
     """Flagged rows per month and the change against the month listed before."""
     months = base.filter("is_flagged_int = 1").join(

@@ -32,6 +32,34 @@ def flagged_volume() -> Column:
     return F.sum(F.when(F.col("is_flagged_int") == 1, F.col("amount_usd")).otherwise(F.lit(0)))
 
 
+#: what the reports by one label are made of; those a report doesn't name cost nothing
+def totals() -> list[Column]:
+    return [F.count("*").alias("rows"), customers().alias("customers"),
+            volume().alias("volume"), F.count("amount_usd").alias("amounts"),
+            flagged().alias("flagged"), flagged_volume().alias("flagged_volume")]
+
+
+def label_totals(base: DataFrame, labels: dict[str, Column]) -> DataFrame:
+    """``totals`` for the groups of several labels from one scan: ``kind`` (a key of
+    ``labels``), ``label`` and the sums. A label is a struct of one field, ``label``, or
+    NULL for rows outside its report.
+
+    Every row goes into one group for each of its labels and its customer. These groups
+    are merged before the exchange, so what is shuffled grows with the customers, and a
+    distinct count is a count of groups.
+    """
+    named = F.array(*(F.struct(F.lit(kind).alias("kind"), label.alias("of"))
+                      for kind, label in labels.items()))
+    rows = base.select("customer_key", "amount_usd", "is_flagged_int", F.explode(named).alias("x"))
+    rows = rows.filter(F.col("x.of").isNotNull())
+    per_customer = rows.groupBy(
+        F.col("x.kind").alias("kind"), F.col("x.of.label").alias("label"), "customer_key").agg(
+        *totals()).drop("customers")
+    return per_customer.groupBy("kind", "label").agg(
+        F.count("customer_key").alias("customers"),
+        *(F.sum(name).alias(name) for name in ("rows", "volume", "amounts", "flagged", "flagged_volume")))
+
+
 def share_of_total(groups: DataFrame, measure: str, share: str) -> DataFrame:
     """Add what each group holds of the sum over all groups, in percent.
 

@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from riskmart.operators import (
-    anomaly, baseline, exposure, foundation, profiling, report, scoring, velocity)
+    anomaly, baseline, exposure, foundation, profiling, report, scoring, shared, velocity)
 from riskmart.sources import Star
 
 
@@ -30,6 +31,10 @@ class Inputs:
     def base(self) -> DataFrame:
         return foundation.flagged_base(self.star.fact)
 
+    def groups(self, kind: str) -> DataFrame:
+        """The stored totals by one label."""
+        return self.stored[LABELS].filter(F.col("kind") == kind).withColumnRenamed("label", kind)
+
     @cached_property
     def spine(self) -> DataFrame:
         return foundation.date_spine(self.star.date)
@@ -54,7 +59,29 @@ class Inputs:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return self._stored("q6_1_exec_summary", lambda: report.exec_summary(self.base))
+        return self._stored("q6_1_exec_summary", lambda: _summary(self))
+
+
+#: name under which ``Inputs.stored`` may hold the totals of several labels
+LABELS = "label_totals"
+
+
+def label_totals(d: Inputs) -> DataFrame:
+    return shared.label_totals(d.base, report.report_labels())
+
+
+def _by(kind: str, finish: Callable[[DataFrame], DataFrame], alone: Callable[[DataFrame], DataFrame]):
+    """A report by one label, from stored totals or by itself."""
+    return lambda d: finish(d.groups(kind)) if LABELS in d.stored else alone(d.base)
+
+
+def _summary(d: Inputs) -> DataFrame:
+    if LABELS not in d.stored:
+        return report.exec_summary(d.base)
+    # every row has one channel, NULL included
+    sums = ("rows", "volume", "amounts", "flagged", "flagged_volume")
+    whole = d.groups("channel").agg(*(F.sum(name).alias(name) for name in sums))
+    return report.exec_summary_of(whole.withColumn("rows", F.coalesce("rows", F.lit(0))))
 
 
 def _pairs(d: Inputs, **limits) -> DataFrame:
@@ -84,10 +111,10 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "f2_portfolio_stats": lambda d: d.stats,
     "f3_date_spine": lambda d: d.spine,
     "q1_1_portfolio_summary": lambda d: baseline.portfolio_summary(d.base, d.stats),
-    "q1_2_channel_mix": lambda d: baseline.channel_mix(d.base),
+    "q1_2_channel_mix": _by("channel", baseline.channel_mix_of, baseline.channel_mix),
     "q1_3_monthly_trend": lambda d: baseline.monthly_trend(d.base, d.spine),
     "q1_4_kyc_distribution": lambda d: baseline.kyc_distribution(d.star.customer, d.base),
-    "q2_1_time_window": lambda d: anomaly.time_of_day_profile(d.base),
+    "q2_1_time_window": _by("time_window", anomaly.time_of_day_of, anomaly.time_of_day_profile),
     "q2_2a_rapid_pairs": _pairs,
     "q2_2a_rapid_pairs_all": lambda d: _pairs(d, n=None),
     "q2_2b_rapid_gaps": _gaps,
@@ -102,7 +129,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "q4_1_merchant_risk": lambda d: exposure.merchant_risk(d.base, d.star.merchant),
     "q4_2_shell_flows": lambda d: exposure.shell_flows(
         d.base, d.star.merchant, d.star.location),
-    "q4_3_channel_risk": lambda d: exposure.channel_risk(d.base),
+    "q4_3_channel_risk": _by("channel", exposure.channel_risk_of, exposure.channel_risk),
     "q4_4_country_exposure": lambda d: exposure.country_exposure(d.base, d.star.location),
     "s5_off_hours_signal": lambda d: scoring.off_hours_signal(d.base),
     "s5_spend_spike_signal": lambda d: scoring.spend_spike_signal(d.base),
@@ -112,7 +139,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "q5_1_watchlist": lambda d: d.watchlist,
     "q5_2_tier_summary": lambda d: scoring.tier_summary(d.tiered),
     "q6_1_exec_summary": lambda d: d.summary,
-    "q6_2_exposure_by_type": lambda d: report.exposure_by_type(d.base),
+    "q6_2_exposure_by_type": _by("fraud_type", report.exposure_by_type_of, report.exposure_by_type),
     "q6_3_fraud_trend": lambda d: report.fraud_trend(d.base, d.spine),
     "q6_4_freeze_list": _freeze,
     "q6_4_freeze_list_all": lambda d: _freeze(d, n=None),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -108,6 +109,65 @@ def write_star(
         writer.mode(mode).parquet(f"{path}/{table}")
 
 
+#: what a clustered copy of the fact is dealt by
+CLUSTER_KEY, CLUSTER_ORDER = "customer_key", ("customer_key", "transaction_datetime")
+CLUSTERED, LAYOUT = "fact_clustered", "fact_clustered_layout"
+
+
+def write_clustered(
+    star: Star, path: str, buckets: int, max_skew: float = 4.0, mode: str = "errorifexists"
+) -> bool:
+    """Store a copy of the fact in ``buckets`` by customer beside the star at ``path``.
+
+    Grouping this copy by customer, alone or with other columns, needs no shuffle: a task
+    reads the sorted files of one bucket. That holds while buckets are of like size, so
+    rows are counted per bucket first (one partial sum per bucket and task). If the
+    largest has more than ``max_skew`` times its share, as when one customer holds a
+    third of all rows, nothing is stored but that finding, and readers take the star's
+    own fact, whose rows are dealt out evenly. Returns whether the copy was made.
+    """
+    spark = star.fact.sparkSession
+    fact = conform(star.fact, S.FACT_TRANSACTIONS)
+    sizes = fact.groupBy(F.pmod(F.hash(CLUSTER_KEY), F.lit(buckets)).alias("bucket")).count().agg(
+        F.max("count").alias("most"), F.sum("count").alias("rows")).head()
+    even = sizes.rows is None or sizes.most * buckets <= max_skew * sizes.rows or sizes.most <= buckets
+    if even:
+        name = _table_name(path)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        # one task a bucket, so that a bucket is few files
+        (fact.repartition(buckets, CLUSTER_KEY).write.mode(mode).format("parquet")
+         .bucketBy(buckets, CLUSTER_KEY).sortBy(*CLUSTER_ORDER)
+         .option("path", f"{path}/{CLUSTERED}").saveAsTable(name))
+        spark.sql(f"DROP TABLE {name}")  # the files stay: the table is external
+    spark.range(1).select(F.lit(buckets if even else 0).alias("buckets")).write.mode(mode).parquet(
+        f"{path}/{LAYOUT}")
+    return even
+
+
+def read_clustered(spark: SparkSession, path: str) -> Star:
+    """The star at ``path`` with the fact from its copy by customer, where one was made."""
+    plain = read_star(spark, path)
+    buckets = spark.read.parquet(f"{path}/{LAYOUT}").head().buckets
+
+    def load(table: str) -> DataFrame:
+        if table != "fact_transactions" or not buckets:
+            return plain.load(table)
+        name = _table_name(path)
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.FACT_TRANSACTIONS)
+        # Spark learns of buckets from its catalog only; the entry names files and owns none
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({CLUSTER_KEY}) "
+                  f"SORTED BY ({', '.join(CLUSTER_ORDER)}) INTO {buckets} BUCKETS "
+                  f"LOCATION '{path}/{CLUSTERED}'")
+        return conform(spark.table(name), S.FACT_TRANSACTIONS)
+
+    return Star(load)
+
+
+def _table_name(path: str) -> str:
+    return "riskmart_fact_" + hashlib.md5(path.encode()).hexdigest()
+
+
 def conform(frame: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of ``frame`` in the order and types of ``schema``."""
     return frame.select(
