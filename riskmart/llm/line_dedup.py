@@ -28,13 +28,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskmart.llm.common import BLANKS, durable, once, stored, table, words
+from riskmart.llm.common import BLANKS, durable, once, stored, table
 
 BITS = 16
 BUCKETS = 1 << BITS
 PERCENT = 80
 #: so many of a line's rarest words look for their earliest line first
 STAR_WORDS = 3
+#: sizes from here on are told as one where a line's size travels with its place
+SIZES = 1 << 16
 
 
 def lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -48,10 +50,25 @@ def lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     place.cast("decimal(31,0)").alias("place"))
 
 
+def split_line(line: Column) -> Column:
+    """The words of a line, and empty strings where blanks meet. Splitting at a single
+    space needs no regular expression, so the other blanks become spaces first."""
+    for blank in BLANKS[1:]:
+        line = F.replace(line, F.lit(blank), F.lit(" "))
+    return F.split(line, " ")
+
+
+def word_hashes(line: Column) -> Column:
+    """The hashes of the different words of a line."""
+    hashes = F.array_distinct(F.transform(split_line(line), lambda w: F.xxhash64(w)))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))
+
+
 def rarity_classes(documents: DataFrame, text_col: str) -> bytes:
     """For each hash bucket a class from 0 to 127 that grows with the logarithm of how
     often its words occur. The counts that come to the driver are one per bucket."""
-    word = documents.select(F.explode(once(words(F.coalesce(F.col(text_col), F.lit(""))))).alias("w"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    word = documents.select(F.explode(once(split_line(text))).alias("w")).filter("w <> ''")
     counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count()
     classes = bytearray(BUCKETS)
     for bucket, count in counts.collect():
@@ -60,56 +77,68 @@ def rarity_classes(documents: DataFrame, text_col: str) -> bytes:
 
 
 def distinct_lines(found: DataFrame, classes: bytes, percent: int) -> DataFrame:
-    """The different lines, as a written table: fingerprint, ``line``, the ``place`` it
-    first stands at, the number ``n`` of its words and its ``prefix``, as sort keys."""
+    """The different lines, as a written table without their texts: fingerprint, the
+    ``place`` a line first stands at, the number ``n`` of its words and its ``prefix``, as
+    sort keys."""
 
-    def key(word: Column) -> Column:
-        h = F.xxhash64(word)
+    def key(h: Column) -> Column:
         at = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
         of_bucket = F.ascii(F.substring(F.lit(classes), at, F.lit(1)).cast("string")).cast("long")
         return F.shiftleft(of_bucket - 64, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    d = found.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min("place").alias("place"))
-    d = d.withColumn("keys", once(F.sort_array(F.array_distinct(F.transform(words(F.col("line")), key)))))
+    d = found.select("h1", "h2", "place", once(F.sort_array(F.transform(
+        once(word_hashes(F.col("line"))), key))).alias("keys"))
     n = F.size("keys")
     need = F.floor((n * percent + 99) / 100).cast("int")
-    return stored(d.select("h1", "h2", "line", "place", n.alias("n"),
-                           F.slice("keys", F.lit(1), n - need + 1).alias("prefix")), "distinct-lines")
+    d = d.select("h1", "h2", "place", n.alias("n"), F.slice("keys", F.lit(1), n - need + 1).alias("prefix"))
+    return stored(d.groupBy("h1", "h2").agg(
+        F.min("place").alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix")),
+        "distinct-lines")
 
 
-def similar(pairs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
+def similar(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Those pairs of places (``x``, ``y``) whose lines are similar, as ``x``."""
-    line = distinct.select("place", "line", "n")
-    both = pairs.join(line.toDF("y", "line_y", "n_y"), "y").filter(
-        (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent))
+    line = found.select("place", "line")
+    both = pairs.select("x", "y").join(line.toDF("y", "line_y"), "y")
     # the same columns on both sides, so that one exchange of the lines serves both
-    both = both.drop("n_y").join(line.toDF("x", "line_x", "n"), "x").filter("n = n_x")
-    a, b = (F.array_distinct(F.transform(words(F.col(f"line_{s}")), lambda w: F.xxhash64(w))) for s in "xy")
-    both = both.select("x", once(a).alias("a"), once(b).alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.filter(shared * (100 + percent) >= (F.size("a") + F.size("b")) * percent).select("x").distinct()
+    both = both.join(line.toDF("x", "line_x"), "x")
+    both = both.select("x", *(once(word_hashes(F.col(f"line_{s}"))).alias(s + "_words") for s in "xy"))
+    shared = F.size(F.array_intersect("x_words", "y_words"))
+    return both.filter(shared * (100 + percent) >= (F.size("x_words") + F.size("y_words")) * percent).select(
+        "x").distinct()
 
 
-def later_lines(distinct: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``x``: the places of those different lines that are similar to an earlier one."""
+def later_lines(distinct: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``x``: the places of those different lines that are similar to an earlier one.
+    ``found`` has the text of every place."""
 
     def rows(lines: DataFrame, s: str) -> DataFrame:
         return lines.select(F.col("place").alias(s), F.col("n").alias(f"n_{s}"),
                             F.posexplode("prefix").alias(f"i_{s}", "key"))
 
+    def of_like_size() -> Column:
+        return (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
+
     def fits() -> Column:
         ahead = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
-        return ((F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
-                # the first shared word of a similar pair leaves enough words after it
-                & (ahead * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent))
+        # the first shared word of a similar pair leaves enough words after it
+        return of_like_size() & (ahead * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent)
 
     every = rows(distinct, "x").filter(F.col("i_x") < STAR_WORDS)
-    earliest = every.groupBy("key").agg(F.min("x").alias("y"), F.max("x").alias("z")).filter("y < z").select("key", "y")
-    stars = every.select("key", "x", "n_x").join(earliest, "key").filter("y < x").select("x", "n_x", "y").distinct()
-    first = durable(similar(stars, distinct, percent))
+    # place and size as one number, so that the earliest line of a word brings its size
+    sized = F.col("x").cast("decimal(31,0)") * SIZES + F.least(F.col("n_x"), F.lit(SIZES - 1))
+    earliest = every.withColumn("sized", sized.cast("decimal(38,0)")).groupBy("key").agg(
+        F.min("sized").alias("first"), F.max("x").alias("z"))
+    # the remainder of a negative number (an id below 0) is brought above 0
+    n_y = F.pmod(F.col("first"), F.lit(SIZES)).cast("int")
+    y = ((F.col("first") - n_y) / SIZES).cast("decimal(31,0)")
+    earliest = earliest.select("key", y.alias("y"), n_y.alias("n_y"), "z").filter("y < z")
+    stars = every.join(earliest.select("key", "y", "n_y"), "key").filter(
+        (F.col("y") < F.col("x")) & ((F.col("n_y") == SIZES - 1) | of_like_size()))
+    first = durable(similar(stars.select("x", "y").distinct(), found, percent))
     open_ = rows(distinct.join(first, F.col("place") == F.col("x"), "left_anti"), "x")
     pairs = open_.join(rows(distinct, "y"), "key").filter((F.col("y") < F.col("x")) & fits())
-    return first.union(similar(pairs.select("x", "n_x", "y").distinct(), distinct, percent))
+    return first.union(similar(pairs.select("x", "y").distinct(), found, percent))
 
 
 def removed_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -118,7 +147,7 @@ def removed_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     that have any."""
     found = lines(documents, id_col, text_col)
     distinct = distinct_lines(found, rarity_classes(documents, text_col), percent)
-    later = later_lines(distinct, percent)
+    later = later_lines(distinct, found, percent)
     first = distinct.select("h1", "h2", F.col("place").alias("first")).join(
         later.withColumn("later", F.lit(True)), F.col("first") == F.col("x"), "left").drop("x")
     places = found.select("doc_id", "pos", "place", "h1", "h2").join(first, ["h1", "h2"])
