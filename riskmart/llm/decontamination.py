@@ -3,7 +3,9 @@
 The windows of the benchmark items go to every task once their size is checked; the
 training texts are scanned in one pass without a shuffle. A hash hit counts only
 after the words themselves are compared. A benchmark above ``max_broadcast_bytes`` is
-scanned in blocks of that size, one pass each, and the hits are put together per row.
+scanned in blocks of about that size, one after the other: a pass broadcasts one block and
+writes what it hits by fingerprint of the text (128 bits), and the finds of all passes
+are then joined to the rows.
 
 Defined results: NULL, empty and wordless texts have no windows and are clean; an item
 without an id marks words but is not listed; repeated items and rows are fine, each row
@@ -13,15 +15,16 @@ of the documents is judged alone. Other columns pass unchanged.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskmart.llm.common import covered, hash_windows, mix, pieces, table
+from riskmart.llm.common import covered, hash_windows, mix, pieces, shared_folder, table
 
 #: lower-cases A-Z; everything in ASCII but letters and digits separates words
 NORMAL = bytes(
@@ -100,18 +103,78 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> lis
             for k in range(n)]
 
 
-def _scan(benchmark: DataFrame, id_col: str, text_col: str, size: int, limit: int):
-    """Broadcast window sets, one for each block of the benchmark."""
-    context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(window_set([(r[0], r[1]) for r in block.collect()], size))
-            for block in _blocks(benchmark, id_col, text_col, limit)]
+@dataclass(frozen=True)
+class Benchmark:
+    """A benchmark to look for, its columns and limits."""
 
+    items: DataFrame
+    item_col: str = "item_id"
+    text_col: str = "text"
+    size: int = 10
+    max_broadcast_bytes: int = 64 << 20
 
-def _find(sets: list, text: str | None) -> tuple[list[bytes], np.ndarray, set[str]]:
-    parts = item_words(text)
-    found = [find(s.value, parts) for s in sets]
-    return (parts, np.logical_or.reduce([h for h, _ in found]),
-            set(chain.from_iterable(n for _, n in found)))
+    def blocks(self) -> list[DataFrame]:
+        return _blocks(self.items, self.item_col, self.text_col, self.max_broadcast_bytes)
+
+    def shared(self, block: DataFrame):
+        """The window set of one block as a broadcast; the driver holds one at a time."""
+        windows = window_set([(r[0], r[1]) for r in block.collect()], self.size)
+        return block.sparkSession.sparkContext.broadcast(windows)
+
+
+def _prints() -> list[Column]:
+    """A fingerprint of a text, 128 bits: what a text is hit by depends on it alone."""
+    return [F.xxhash64("text").alias("f1"), F.xxhash64("text", F.lit(1)).alias("f2")]
+
+
+FOUND = "f1 long, f2 long, hit binary, items array<string>"
+
+
+def _hits(texts: DataFrame, benchmark: Benchmark, blocks: list[DataFrame]) -> DataFrame:
+    """The hit words (packed bits) and items of every text that has any, by its
+    fingerprint: a pass over the texts for each block of the benchmark, whose finds are
+    written before the next block is broadcast."""
+    rows = texts.select(*_prints(), "text")
+    path = None
+    for number, block in enumerate(blocks):
+        shared = benchmark.shared(block)
+
+        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                out = []
+                for f1, f2, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    hit, names = find(shared.value, item_words(text))
+                    if hit.any():
+                        out.append((f1, f2, np.packbits(hit).tobytes(), sorted(names)))
+                f1, f2, hit, names = zip(*out) if out else ([],) * 4
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(hit, pa.binary()),
+                     pa.array(names, pa.list_(pa.string()))], ["f1", "f2", "hit", "items"])
+
+        # one row a text and block, however many copies of the text there are
+        found = rows.mapInArrow(look, FOUND).groupBy("f1", "f2").agg(
+            F.first("hit").alias("hit"), F.first("items").alias("items"))
+        path = path or f"{shared_folder(texts.sparkSession).rstrip('/')}/benchmark-hits-{uuid.uuid4().hex}"
+        found.write.mode("append").parquet(path)
+        shared.unpersist()
+    return texts.sparkSession.read.schema(FOUND).parquet(path).groupBy("f1", "f2").agg(
+        F.collect_list("hit").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+
+
+def _united(hits: list[bytes] | None, n: int) -> np.ndarray:
+    """The hit words of a text of ``n`` words from what each block found."""
+    united = np.zeros(n, bool)
+    for hit in hits or ():
+        united |= np.unpackbits(np.frombuffer(hit, np.uint8), count=n).astype(bool)
+    return united
+
+
+def _digested(ids: pa.Array, rows: list[tuple[int, int, set[str]]]) -> pa.RecordBatch:
+    columns = list(zip(*((n_words, n_hit, len(names), hashlib.sha256(
+        ",".join(sorted(names)).encode()).hexdigest(), n_hit > 0) for n_words, n_hit, names in rows)))
+    return pa.RecordBatch.from_arrays(
+        [ids, *(pa.array(c) for c in columns)],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
@@ -119,66 +182,109 @@ def scan(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
          size: int = 10, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """One row per document: how many of its words lie in benchmark windows, and of
     which items."""
-    sets = _scan(benchmark, item_col, item_text_col, size, max_broadcast_bytes)
+    wanted = Benchmark(benchmark, item_col, item_text_col, size, max_broadcast_bytes)
     slim = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {documents.schema[id_col].dataType.simpleString()}, {DIGEST}"
+    blocks = wanted.blocks()
+    if len(blocks) == 1:
+        shared = wanted.shared(blocks[0])
+
+        def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                rows = []
+                for text in batch.column(1).to_pylist():
+                    parts = item_words(text)
+                    hit, names = find(shared.value, parts)
+                    rows.append((len(parts), int(hit.sum()), names))
+                yield _digested(batch.column(0), rows)
+
+        return slim.mapInArrow(digest, schema)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield _digested(batch.column(0), [
+                (n, int(_united(hits, n).sum()), set(items or ()))
+                for n, hits, items in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))])
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            rows = []
-            for text in batch.column(1).to_pylist():
-                parts, hit, names = _find(sets, text)
-                n_hit = int(hit.sum())
-                rows.append((len(parts), n_hit, len(names),
-                             hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n_hit > 0))
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c) for c in columns)],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            n = pa.array([len(item_words(t)) for t in batch.column(3).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], n], ["doc_id", "f1", "f2", "n"])
 
-    return slim.mapInArrow(digest, schema)
+    kind = documents.schema[id_col].dataType.simpleString()
+    counted = slim.select("doc_id", *_prints(), "text").mapInArrow(
+        count, f"doc_id {kind}, f1 long, f2 long, n long")
+    joined = counted.join(_hits(slim, wanted, blocks), ["f1", "f2"], "left")
+    return joined.select("doc_id", "n", "hits", "items").mapInArrow(merge, schema)
 
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
                      item_col: str = "item_id", item_text_col: str = "text", size: int = 10,
                      max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """The documents without a hit, in their own columns."""
-    sets = _scan(benchmark, item_col, item_text_col, size, max_broadcast_bytes)
-    at = documents.columns.index(text_col)
+    wanted = Benchmark(benchmark, item_col, item_text_col, size, max_broadcast_bytes)
+    blocks = wanted.blocks()
+    if len(blocks) > 1:
+        rows = _packed(documents, text_col)
+        hits = _hits(rows.select("text"), wanted, blocks).select("f1", "f2")
+        return rows.join(hits, ["f1", "f2"], "left_anti").select("row.*")
+    shared, at = wanted.shared(blocks[0]), documents.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             yield batch.filter(pa.array(
-                [not _find(sets, t)[1].any() for t in batch.column(at).to_pylist()], pa.bool_()))
+                [not find(shared.value, item_words(t))[0].any() for t in batch.column(at).to_pylist()],
+                pa.bool_()))
 
     return documents.mapInArrow(clean, documents.schema)
 
 
+def _packed(documents: DataFrame, text_col: str) -> DataFrame:
+    """The documents as ``row``, with ``text`` and its fingerprint."""
+    rows = documents.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    return rows.select("row", "text", *_prints())
+
+
+def _blanked(text: str | None, hit: np.ndarray) -> str | None:
+    """The text without its hit words."""
+    if not hit.any():
+        return text
+    data = text.encode("utf-8", "surrogatepass")
+    normal, out, end = data.translate(NORMAL), [], 0
+    for part, bad in zip(item_words(text), hit):
+        start = normal.index(part, end)
+        out.append(data[end:start] + (b"" if bad else data[start:start + len(part)]))
+        end = start + len(part)
+    return (b"".join(out) + data[end:]).decode("utf-8", "surrogatepass")
+
+
 def remove_spans(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", size: int = 10,
                  max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """The documents with every hit word blanked out of the text; separators stay."""
-    sets = _scan(benchmark, item_col, item_text_col, size, max_broadcast_bytes)
-    at = documents.columns.index(text_col)
-
-    def strip(text: str | None) -> str | None:
-        parts, hit, _ = _find(sets, text)
-        if not hit.any():
-            return text
-        data = text.encode("utf-8", "surrogatepass")
-        normal, out, end = data.translate(NORMAL), [], 0
-        for part, bad in zip(parts, hit):
-            start = normal.index(part, end)
-            out.append(data[end:start] + (b"" if bad else data[start:start + len(part)]))
-            end = start + len(part)
-        return (b"".join(out) + data[end:]).decode("utf-8", "surrogatepass")
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    wanted = Benchmark(benchmark, item_col, item_text_col, size, max_broadcast_bytes)
+    blocks = wanted.blocks()
+    if len(blocks) > 1:
+        rows = _packed(documents, text_col)
+        joined = rows.join(_hits(rows.select("text"), wanted, blocks), ["f1", "f2"], "left")
+        joined = joined.select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns), F.col("hits").alias("__hits"))
+        shared = None
+    else:
+        shared, joined = wanted.shared(blocks[0]), documents
+    at, names = documents.columns.index(text_col), documents.columns
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            texts = pa.array([strip(t) for t in batch.column(at).to_pylist()], pa.string())
-            yield batch.set_column(at, batch.schema.field(at), texts)
-
-    return documents.mapInArrow(clean, documents.schema)
+            texts = batch.column(at).to_pylist()
+            if shared is None:
+                hits = [_united(h, len(item_words(t))) for h, t in zip(batch.column(len(names)).to_pylist(), texts)]
+            else:
+                hits = [find(shared.value, item_words(t))[0] for t in texts]
+            clean = pa.array(list(map(_blanked, texts, hits)), pa.string())
+            columns = [clean if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return joined.mapInArrow(strip, documents.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

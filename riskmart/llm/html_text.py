@@ -75,12 +75,51 @@ class Element:
     article: bool
     hidden: bool
 
+    def __post_init__(self):
+        #: the least and the largest odds of this element and those around it
+        self.worst = min(self.odds, self.up.worst if self.up else 0.0)
+        self.best = max(self.odds, self.up.best if self.up else 0.0)
+
+
+class Stack(list):
+    """The open elements, with the places of each name and of block elements, so that a
+    tag costs the same however deep the page is nested."""
+
+    def __init__(self, root: Element):
+        super().__init__([root])
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+
+    def open(self, element: Element) -> None:
+        self.places.setdefault(element.name, []).append(len(self))
+        if element.name in BLOCK:
+            self.block_places.append(len(self))
+        self.append(element)
+
+    def last(self, name: str) -> int:
+        """Where the innermost open element of a name stands; 0 if there is none."""
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+    def close(self, depth: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self) > depth:
+            element = self.pop()
+            self.places[element.name].pop()
+            if element.name in BLOCK:
+                self.block_places.pop()
+
+    def holds(self, *names: str) -> bool:
+        return any(self.places.get(name) for name in names)
+
 
 @dataclass
 class Block:
-    """A run of text without block-level markup, and where it stands."""
+    """A run of text without block-level markup, and where it stands; ``opened`` counts
+    the elements opened before it."""
 
     element: Element
+    opened: int
     heading: bool = False
     item: bool = False
     linked: int = 0
@@ -134,7 +173,7 @@ def _ends(html: str, name: str) -> tuple[dict[int, int], list[int], list[int]]:
 def blocks(html: str) -> list[Block]:
     """The blocks of a page that hold text, in page order."""
     root = Element("html", 0.0, 0, None, False, False)
-    stack, found, current = [root], [], None
+    stack, found, current = Stack(root), [], None
     keys, at = 0, 0
     closed: dict[str, tuple[dict[int, int], list[int], list[int]]] = {}
 
@@ -143,12 +182,11 @@ def blocks(html: str) -> list[Block]:
         if current is None:
             if text.isspace():
                 return
-            names = [e.name for e in stack]
-            current = Block(stack[-1], any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n in names),
-                            "li" in names or "dt" in names)
+            current = Block(stack[-1], keys, stack.holds("h1", "h2", "h3", "h4", "h5", "h6"),
+                            stack.holds("li", "dt"))
             found.append(current)
         current.pieces.append(text)
-        if any(e.name == "a" for e in stack):
+        if stack.holds("a"):
             current.linked += len(text.strip())
 
     def behind(name: str, start: int, inside: int) -> int:
@@ -175,9 +213,9 @@ def blocks(html: str) -> list[Block]:
                 add(" ")
             if name in BLOCK:
                 current = None
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
+            depth = stack.last(name)
             if depth:
-                del stack[depth:]
+                stack.close(depth)
             continue
         if name == "br":
             if current is not None:
@@ -186,11 +224,11 @@ def blocks(html: str) -> list[Block]:
         if name in BLOCK:
             current = None
             if name in CLOSES_P:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == "p"), 0)
-                if depth and not any(e.name in BLOCK for e in stack[depth + 1:]):
-                    del stack[depth:]
+                depth = stack.last("p")
+                if depth and stack.block_places[-1] == depth:
+                    stack.close(depth)
             if name == "li" and stack[-1].name == "li":
-                stack.pop()
+                stack.close(len(stack) - 1)
         attributes = match[3] if match[2] else match[6]
         if name in VOID or attributes.rstrip().endswith("/"):
             continue
@@ -198,7 +236,7 @@ def blocks(html: str) -> list[Block]:
             at = behind(name, match.start(), at)
             continue
         keys += 1
-        stack.append(_element(name, attributes, keys, stack[-1]))
+        stack.open(_element(name, attributes, keys, stack[-1]))
     if at < len(html):
         add(unescape(html[at:]))
     return [b for b in found if not b.element.hidden and b.text]
@@ -215,21 +253,10 @@ def content_odds(block: Block, text: str) -> float:
         odds -= 0.3
     if "©" in text[:3] or text[:9].lower() == "copyright":
         odds -= 3.0
-    element, worst, best = block.element, 0.0, 0.0
-    while element is not None:
-        worst, best = min(worst, element.odds), max(best, element.odds)
-        element = element.up
+    element = block.element
     if block.heading:
-        odds += 1.5 if block.element.article else 0.5
-    return odds + worst + (best if worst > -2.0 else 0.0)
-
-
-def _ancestors(element: Element) -> list[int]:
-    keys = []
-    while element is not None:
-        keys.append(element.key)
-        element = element.up
-    return keys[::-1]
+        odds += 1.5 if element.article else 0.5
+    return odds + element.worst + (element.best if element.worst > -2.0 else 0.0)
 
 
 def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -302,18 +329,13 @@ def extract(html: str | None, adjacency: float = 0.4, proximity: float = 0.6) ->
         return ""
     texts = [b.text for b in found]
     odds = [content_odds(b, t) for b, t in zip(found, texts)]
-    paths = [_ancestors(b.element) for b in found]
-    edges, last = [], {}
-    for i, path in enumerate(paths):
-        if i:
-            edges.append((i - 1, i, adjacency))
-        # the nearest earlier block below the same parent, or the same grandparent
-        for up, key in enumerate(reversed(path[1:-1][-2:])):
-            if key in last and last[key] != i - 1 or up == 0 and key in last:
-                edges.append((last[key], i, proximity / (1 + up)))
-                break
-        for key in path:
-            last[key] = i
+    edges = []
+    for i in range(1, len(found)):
+        edges.append((i - 1, i, adjacency))
+        # the block before stands below the same parent, if that was open then
+        parent = found[i].element.up
+        if parent is not None and parent.up is not None and found[i - 1].opened >= parent.key:
+            edges.append((i - 1, i, proximity))
     kept = min_cut(odds, edges)
     return "\n".join(t for t, k in zip(texts, kept) if k)
 

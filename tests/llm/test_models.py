@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -247,3 +248,12 @@ def test_odd_rows(spark, odd, nothing, frame):
     for made in (toxicity.score(nothing, lexicon, weights), quality_classifier.score(nothing, model), mixing.mix(nothing),
                  html_text.extract_pages(pages.limit(0))):
         assert made.count() == 0
+
+
+def test_html_nested_very_deep_is_read_in_one_pass():
+    """Markup nested 20,000 deep; a cost that grows with the depth would take minutes."""
+    line = "A sentence with enough words in it that it is taken for a part of the article."
+    start = time.perf_counter()
+    deep = "<article>" + "<div>" * 20_000 + f"<p>{line}</p>" + f"<p>{line}</p></div>" * 20_000 + "</article>"
+    assert html_text.extract(deep) == "\n".join([line] * 20_001)
+    assert time.perf_counter() - start < 30
