@@ -11,7 +11,7 @@ rarest few words, the earliest line with that word; only lines that this doesn't
 meet all earlier ones. A group of thousands of variants costs pairs in proportion to it.
 
 Rarity comes from the whole corpus: words are counted in a fixed number of hash buckets
-(``BUCKETS``), so the table of rarity classes that every task gets never grows. A word's
+(``BUCKETS``, a byte each), so the table of rarity classes that every task gets never grows. A word's
 sort key is its bucket's class followed by 57 bits of its hash, which puts rare words
 first. All of it is DataFrame operations.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from riskmart.llm.common import BLANKS, durable, once, stored, table
 
-BITS = 16
+BITS = 20
 BUCKETS = 1 << BITS
 PERCENT = 80
 #: so many of a line's rarest words look for their earliest line first
@@ -116,13 +116,13 @@ def later_lines(distinct: DataFrame, found: DataFrame, percent: int = PERCENT) -
         return lines.select(F.col("place").alias(s), F.col("n").alias(f"n_{s}"),
                             F.posexplode("prefix").alias(f"i_{s}", "key"))
 
-    def of_like_size() -> Column:
-        return (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
+    def of_like_size(n_x: Column, n_y: Column) -> Column:
+        return (n_x * 100 >= n_y * percent) & (n_y * 100 >= n_x * percent)
 
-    def fits() -> Column:
-        ahead = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
+    def fits(n_x: Column, n_y: Column) -> Column:
+        ahead = F.least(n_x - F.col("i_x"), n_y - F.col("i_y"))
         # the first shared word of a similar pair leaves enough words after it
-        return of_like_size() & (ahead * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent)
+        return of_like_size(n_x, n_y) & (ahead * (100 + percent) >= (n_x + n_y) * percent)
 
     every = rows(distinct, "x").filter(F.col("i_x") < STAR_WORDS)
     # place and size as one number, so that the earliest line of a word brings its size
@@ -134,10 +134,15 @@ def later_lines(distinct: DataFrame, found: DataFrame, percent: int = PERCENT) -
     y = ((F.col("first") - n_y) / SIZES).cast("decimal(31,0)")
     earliest = earliest.select("key", y.alias("y"), n_y.alias("n_y"), "z").filter("y < z")
     stars = every.join(earliest.select("key", "y", "n_y"), "key").filter(
-        (F.col("y") < F.col("x")) & ((F.col("n_y") == SIZES - 1) | of_like_size()))
+        (F.col("y") < F.col("x")) & ((F.col("n_y") == SIZES - 1) | of_like_size(F.col("n_x"), F.col("n_y"))))
     first = durable(similar(stars.select("x", "y").distinct(), found, percent))
-    open_ = rows(distinct.join(first, F.col("place") == F.col("x"), "left_anti"), "x")
-    pairs = open_.join(rows(distinct, "y"), "key").filter((F.col("y") < F.col("x")) & fits())
+    # both sides are the same rows, so that one exchange of the prefixes serves both; the
+    # size of a line that is gone is marked by its sign
+    marked = distinct.join(first, F.col("place") == F.col("x"), "left").select(
+        "place", "prefix", F.when(F.col("x").isNull(), F.col("n")).otherwise(-F.col("n")).alias("n"))
+    x, y = rows(marked, "x"), rows(marked, "y")
+    pairs = x.join(y, "key").filter(
+        (F.col("y") < F.when(F.col("n_x") > 0, F.col("x"))) & fits(F.abs("n_x"), F.abs("n_y")))
     return first.union(similar(pairs.select("x", "y").distinct(), found, percent))
 
 
