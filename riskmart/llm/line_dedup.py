@@ -6,9 +6,9 @@ filters; the Jaccard similarity of the whole sets decides. Of two similar lines
 one, by document id and line number, is removed; equal lines are the simplest case. Lines
 are judged on the input, not on what is left.
 
-One similar earlier line is enough to remove a line. So each line first meets, for every
-word of its prefix, the earliest line with that word; only lines that this doesn't remove
-meet all earlier ones. A group of thousands of variants costs pairs in proportion to it.
+One similar earlier line is enough to remove a line. So each line first meets, for the
+first and the last few words of its prefix, the earliest line with that word; only lines
+that this doesn't remove meet all earlier ones. A group of thousands of variants costs pairs in proportion to it.
 
 Rarity comes from the whole corpus: words are counted in a fixed number of hash buckets
 (``BUCKETS``, a byte each), so the table of rarity classes that every task gets never grows. A word's
@@ -33,9 +33,10 @@ from riskmart.llm.common import BLANKS, durable, once, stored, table
 BITS = 20
 BUCKETS = 1 << BITS
 PERCENT = 80
-#: sizes and positions from here on are told as one where they travel with a place
-BITS_OF_SIZE = 16
-SIZES = 1 << BITS_OF_SIZE
+#: so many of the last words of a prefix, beside the first, look for their earliest line
+LAST_WORDS = 2
+#: sizes from here on are told as one where a line's size travels with its place
+SIZES = 1 << 16
 
 
 def lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,28 +124,27 @@ def later_lines(distinct: DataFrame, found: DataFrame, percent: int = PERCENT) -
         # the first shared word of a similar pair leaves enough words after it
         return of_like_size(n_x, n_y) & (ahead * (100 + percent) >= (n_x + n_y) * percent)
 
-    # place, size and position as one number, so that the earliest line of a word brings
-    # the others; then only words that several lines hold go on
-    every = rows(distinct, "x")
-    packed = (F.col("x").cast("decimal(31,0)") * (SIZES * SIZES)
-              + F.least(F.col("n_x"), F.lit(SIZES - 1)).cast("long") * SIZES
-              + F.least(F.col("i_x"), F.lit(SIZES - 1)))
-    earliest = every.withColumn("packed", packed.cast("decimal(38,0)")).groupBy("key").agg(
-        F.min("packed").alias("first"), F.count("*").alias("lines")).filter("lines > 1").drop("lines")
-    several = stored(every.join(earliest, "key"), "shared-prefixes")
+    # the rarest word, which a pair of copies may have for itself, and the most frequent
+    # words of the prefix, which changes made to one copy of many leave alone
+    length = F.col("n_x") - F.ceil(F.col("n_x") * percent / 100).cast("int") + 1
+    every = rows(distinct, "x").filter((F.col("i_x") == 0) | (F.col("i_x") >= length - LAST_WORDS))
+    # place and size as one number, so that the earliest line of a word brings its size
+    sized = F.col("x").cast("decimal(31,0)") * SIZES + F.least(F.col("n_x"), F.lit(SIZES - 1))
+    earliest = every.withColumn("sized", sized.cast("decimal(38,0)")).groupBy("key").agg(
+        F.min("sized").alias("first"), F.max("x").alias("z"))
     # the remainder of a negative number (an id below 0) is brought above 0
-    rest = F.pmod(F.col("first"), F.lit(SIZES * SIZES)).cast("long")
-    stars = several.withColumn("rest", rest).select(
-        "x", "n_x", "i_x", F.shiftright("rest", BITS_OF_SIZE).alias("n_y"),
-        F.col("rest").bitwiseAND(F.lit(SIZES - 1)).alias("i_y"),
-        ((F.col("first") - F.col("rest")) / (SIZES * SIZES)).cast("decimal(31,0)").alias("y"))
-    stars = stars.filter((F.col("y") < F.col("x")) & (
-        (F.col("n_y") == SIZES - 1) | fits(F.col("n_x"), F.col("n_y"))))
+    n_y = F.pmod(F.col("first"), F.lit(SIZES)).cast("int")
+    y = ((F.col("first") - n_y) / SIZES).cast("decimal(31,0)")
+    earliest = earliest.select("key", y.alias("y"), n_y.alias("n_y"), "z").filter("y < z")
+    stars = every.join(earliest.select("key", "y", "n_y"), "key").filter(
+        (F.col("y") < F.col("x")) & ((F.col("n_y") == SIZES - 1) | of_like_size(F.col("n_x"), F.col("n_y"))))
     first = durable(similar(stars.select("x", "y").distinct(), found, percent))
-    # the size of a line that is gone is marked by its sign
-    marked = several.join(first.withColumnRenamed("x", "gone"), F.col("x") == F.col("gone"), "left").select(
-        "key", "x", "i_x", F.when(F.col("gone").isNull(), F.col("n_x")).otherwise(-F.col("n_x")).alias("n_x"))
-    pairs = marked.join(marked.toDF("key", "y", "i_y", "n_y"), "key").filter(
+    # both sides are the same rows, so that one exchange of the prefixes serves both; the
+    # size of a line that is gone is marked by its sign
+    marked = distinct.join(first, F.col("place") == F.col("x"), "left").select(
+        "place", "prefix", F.when(F.col("x").isNull(), F.col("n")).otherwise(-F.col("n")).alias("n"))
+    x, y = rows(marked, "x"), rows(marked, "y")
+    pairs = x.join(y, "key").filter(
         (F.col("y") < F.when(F.col("n_x") > 0, F.col("x"))) & fits(F.abs("n_x"), F.abs("n_y")))
     return first.union(similar(pairs.select("x", "y").distinct(), found, percent))
 
