@@ -27,6 +27,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskmart.llm.common import BLANKS, durable, once, stored, table
 
@@ -36,7 +37,8 @@ PERCENT = 80
 #: so many of the last words of a prefix, beside the first, look for their earliest line
 LAST_WORDS = 2
 #: sizes from here on are told as one where a line's size travels with its place
-SIZES = 1 << 16
+BITS_OF_SIZE = 16
+SIZES = 1 << BITS_OF_SIZE
 
 
 def lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,9 +47,20 @@ def lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                          F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter("doc_id is not null")
     d = d.select("doc_id", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
     d = d.filter(F.length(F.btrim("line", F.lit(BLANKS))) > 0)
-    place = F.col("doc_id").cast("decimal(20,0)") * (1 << 31) + F.col("pos")
     return d.select("doc_id", "pos", "line", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"),
-                    place.cast("decimal(31,0)").alias("place"))
+                    place_of(documents, id_col, text_col).alias("place"))
+
+
+def place_of(documents: DataFrame, id_col: str, text_col: str) -> Column:
+    """A number for ``doc_id`` and ``pos`` that orders lines: a long where the range of
+    ids times the bytes of the longest text leaves room for a line's size beside it (it
+    takes a third of the room in shuffles), else a decimal."""
+    id_ = F.col(id_col).cast("long")
+    low, high, longest = documents.agg(F.min(id_), F.max(id_), F.max(F.octet_length(text_col))).head()
+    span = (longest or 0) + 2  # a text has at most one line more than bytes
+    if low is None or (high - low + 1) * span * SIZES < 1 << 63:
+        return (F.col("doc_id") - F.lit(low or 0)) * F.lit(span) + F.col("pos").cast("long")
+    return (F.col("doc_id").cast("decimal(20,0)") * (1 << 31) + F.col("pos")).cast("decimal(31,0)")
 
 
 def split_line(line: Column) -> Column:
@@ -113,8 +126,14 @@ def later_lines(distinct: DataFrame, found: DataFrame, percent: int = PERCENT) -
     ``found`` has the text of every place."""
 
     def rows(lines: DataFrame, s: str) -> DataFrame:
-        return lines.select(F.col("place").alias(s), F.col("n").alias(f"n_{s}"),
-                            F.posexplode("prefix").alias(f"i_{s}", "key"))
+        """A row for each word of a prefix; its place there shares a long with the size."""
+        lines = lines.select(F.col("place").alias(s), "n", F.posexplode("prefix").alias("i", "key"))
+        at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
+        return lines.select("key", s, at.alias(f"at_{s}"))
+
+    def told(pairs: DataFrame, s: str) -> DataFrame:
+        return pairs.withColumns({f"n_{s}": F.shiftright(f"at_{s}", 32).cast("int"),
+                                  f"i_{s}": F.col(f"at_{s}").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")})
 
     def of_like_size(n_x: Column, n_y: Column) -> Column:
         return (n_x * 100 >= n_y * percent) & (n_y * 100 >= n_x * percent)
@@ -127,24 +146,29 @@ def later_lines(distinct: DataFrame, found: DataFrame, percent: int = PERCENT) -
     # the rarest word, which a pair of copies may have for itself, and the most frequent
     # words of the prefix, which changes made to one copy of many leave alone
     length = F.col("n_x") - F.ceil(F.col("n_x") * percent / 100).cast("int") + 1
-    every = rows(distinct, "x").filter((F.col("i_x") == 0) | (F.col("i_x") >= length - LAST_WORDS))
+    every = told(rows(distinct, "x"), "x").filter(
+        (F.col("i_x") == 0) | (F.col("i_x") >= length - LAST_WORDS)).select("key", "x", "n_x")
     # place and size as one number, so that the earliest line of a word brings its size
-    sized = F.col("x").cast("decimal(31,0)") * SIZES + F.least(F.col("n_x"), F.lit(SIZES - 1))
-    earliest = every.withColumn("sized", sized.cast("decimal(38,0)")).groupBy("key").agg(
-        F.min("sized").alias("first"), F.max("x").alias("z"))
-    # the remainder of a negative number (an id below 0) is brought above 0
-    n_y = F.pmod(F.col("first"), F.lit(SIZES)).cast("int")
-    y = ((F.col("first") - n_y) / SIZES).cast("decimal(31,0)")
-    earliest = earliest.select("key", y.alias("y"), n_y.alias("n_y"), "z").filter("y < z")
-    stars = every.join(earliest.select("key", "y", "n_y"), "key").filter(
+    short = F.least(F.col("n_x"), F.lit(SIZES - 1))
+    if isinstance(distinct.schema["place"].dataType, T.LongType):
+        sized, n_y = F.col("x") * SIZES + short, F.col("first").bitwiseAND(F.lit(SIZES - 1)).cast("int")
+        y = F.shiftright("first", BITS_OF_SIZE)
+    else:
+        sized = (F.col("x").cast("decimal(31,0)") * SIZES + short).cast("decimal(38,0)")
+        # the remainder of a negative number (an id below 0) is brought above 0
+        n_y = F.pmod(F.col("first"), F.lit(SIZES)).cast("int")
+        y = ((F.col("first") - n_y) / SIZES).cast("decimal(31,0)")
+    earliest = every.withColumn("sized", sized).groupBy("key").agg(
+        F.min("sized").alias("first"), F.count("*").alias("lines")).filter("lines > 1")
+    earliest = earliest.select("key", y.alias("y"), n_y.alias("n_y"))
+    stars = every.join(earliest, "key").filter(
         (F.col("y") < F.col("x")) & ((F.col("n_y") == SIZES - 1) | of_like_size(F.col("n_x"), F.col("n_y"))))
     first = durable(similar(stars.select("x", "y").distinct(), found, percent))
     # both sides are the same rows, so that one exchange of the prefixes serves both; the
     # size of a line that is gone is marked by its sign
     marked = distinct.join(first, F.col("place") == F.col("x"), "left").select(
         "place", "prefix", F.when(F.col("x").isNull(), F.col("n")).otherwise(-F.col("n")).alias("n"))
-    x, y = rows(marked, "x"), rows(marked, "y")
-    pairs = x.join(y, "key").filter(
+    pairs = told(told(rows(marked, "x").join(rows(marked, "y"), "key"), "x"), "y").filter(
         (F.col("y") < F.when(F.col("n_x") > 0, F.col("x"))) & fits(F.abs("n_x"), F.abs("n_y")))
     return first.union(similar(pairs.select("x", "y").distinct(), found, percent))
 

@@ -70,6 +70,14 @@ def test_lines_against_all_pairs(frame, rows):
     assert found == jaccard_removed(rows)
 
 
+def test_lines_of_ids_far_apart(frame, rows):
+    """Places that do not fit a long are decimals."""
+    far = [(d * 2 ** 53, *rest) for d, *rest in rows]
+    found = line_dedup.removed_lines(frame(far))
+    assert line_dedup.lines(frame(far), "doc_id", "text").schema["place"].dataType.typeName() == "decimal"
+    assert {r.doc_id: r.removed for r in found.collect()} == jaccard_removed(far)
+
+
 def test_lines_are_taken_out(frame, rows):
     expected = jaccard_removed(rows)
     kept = {r.doc_id: r for r in line_dedup.remove_lines(frame(rows)).collect()}
