@@ -23,8 +23,6 @@ the same place. Other columns pass unchanged.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,13 +77,18 @@ def word_hashes(line: Column) -> Column:
 
 def rarity_classes(documents: DataFrame, text_col: str) -> bytes:
     """For each hash bucket a class from 0 to 127 that grows with the logarithm of how
-    often its words occur. The counts that come to the driver are one per bucket."""
+    often its words occur. They come to the driver as text, 1024 buckets a row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     word = documents.select(F.explode(once(split_line(text))).alias("w")).filter("w <> ''")
-    counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count()
+    counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
+    of_bucket = F.least(F.lit(127), F.floor(2.5 * F.log2(1 + F.col("count"))).cast("int"))
+    blocks = counts.groupBy(F.shiftright("bucket", 10).alias("block")).agg(F.map_from_entries(
+        F.collect_list(F.struct(F.col("bucket").bitwiseAND(F.lit(1023)), of_bucket))).alias("classes"))
+    codes = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda at: F.lpad(
+        F.hex(F.coalesce(F.try_element_at("classes", at), F.lit(0))), 2, "0"))
     classes = bytearray(BUCKETS)
-    for bucket, count in counts.collect():
-        classes[bucket] = min(127, int(2.5 * math.log2(1 + count)))
+    for block, text in blocks.select("block", F.array_join(codes, "")).collect():
+        classes[1024 * block:1024 * (block + 1)] = bytes.fromhex(text)
     return bytes(classes)
 
 
