@@ -77,18 +77,20 @@ def word_hashes(line: Column) -> Column:
 
 def rarity_classes(documents: DataFrame, text_col: str) -> bytes:
     """For each hash bucket a class from 0 to 127 that grows with the logarithm of how
-    often its words occur. They come to the driver as text, 1024 buckets a row."""
+    often its words occur. They come to the driver as text, 1024 buckets a row: three
+    hexadecimal digits for the bucket in its row and two for its class."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     word = documents.select(F.explode(once(split_line(text))).alias("w")).filter("w <> ''")
     counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
     of_bucket = F.least(F.lit(127), F.floor(2.5 * F.log2(1 + F.col("count"))).cast("int"))
-    blocks = counts.groupBy(F.shiftright("bucket", 10).alias("block")).agg(F.map_from_entries(
-        F.collect_list(F.struct(F.col("bucket").bitwiseAND(F.lit(1023)), of_bucket))).alias("classes"))
-    codes = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda at: F.lpad(
-        F.hex(F.coalesce(F.try_element_at("classes", at), F.lit(0))), 2, "0"))
+    code = F.concat(F.lpad(F.hex(F.col("bucket").bitwiseAND(F.lit(1023))), 3, "0"),
+                    F.lpad(F.hex(of_bucket), 2, "0"))
+    rows = counts.groupBy(F.shiftright("bucket", 10).alias("block")).agg(
+        F.array_join(F.collect_list(code), "").alias("codes"))
     classes = bytearray(BUCKETS)
-    for block, text in blocks.select("block", F.array_join(codes, "")).collect():
-        classes[1024 * block:1024 * (block + 1)] = bytes.fromhex(text)
+    for block, codes in rows.collect():
+        for i in range(0, len(codes), 5):
+            classes[1024 * block + int(codes[i:i + 3], 16)] = int(codes[i + 3:i + 5], 16)
     return bytes(classes)
 
 
