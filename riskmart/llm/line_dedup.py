@@ -2,9 +2,10 @@
 
 A line is the set of its words. Words are ordered by rarity, and lines are candidates
 when their prefixes, the rarest words, meet under the prefix, positional and length
-filters; the Jaccard similarity of the whole sets decides. Of two similar lines the later
-one, by document id and line number, is removed; equal lines are the simplest case. Lines
-are judged on the input, not on what is left.
+filters and the bitmaps of their words leave room for enough shared ones; the Jaccard
+similarity of the whole sets decides. Of two similar lines the later one, by document id
+and line number, is removed; equal lines are the simplest case. Lines are judged on the
+input, not on what is left.
 
 One similar earlier line is enough to remove a line. So each line first meets, for the
 first and the last few words of its prefix, the earliest line with that word; only lines
@@ -13,7 +14,10 @@ that this doesn't remove meet all earlier ones. A group of thousands of variants
 Rarity comes from the whole corpus: words are counted in a fixed number of hash buckets
 (``BUCKETS``, a byte each), so the table of rarity classes that every task gets never grows. A word's
 sort key is its bucket's class followed by 57 bits of its hash, which puts rare words
-first. All of it is DataFrame operations.
+first; 31 bits of it stand for the word where prefixes meet. All of it is DataFrame operations.
+
+A line's text travels only where a candidate needs it: what a small set of keys
+can't want is told by a bitmap of the set (``apart``), and is not shuffled.
 
 Defined results: NULL, empty and blank texts have no lines, and blank lines are never
 removed. Rows without an id have no place in the order: they lose nothing and take
@@ -23,20 +27,50 @@ the same place. Other columns pass unchanged.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from riskmart.llm.common import BLANKS, durable, once, stored, table
+from riskmart.llm.common import BLANKS, once, stored, table
 
 BITS = 20
 BUCKETS = 1 << BITS
 PERCENT = 80
 #: so many of the last words of a prefix, beside the first, look for their earliest line
 LAST_WORDS = 2
-#: sizes from here on are told as one where a line's size travels with its place
-BITS_OF_SIZE = 16
-SIZES = 1 << BITS_OF_SIZE
+#: lines of more words have a second bitmap
+LONG = 64
+#: more lines than a text can have
+SPAN = 1 << 31
+#: bits by which ``apart`` knows a set of keys; every executor gets up to 64 of them in a row
+KNOWN_BITS = 1 << 24
+
+
+def apart(frame: DataFrame, key: Column, some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be in ``some``, a frame of one column, and those whose key
+    certainly isn't. Nothing of ``frame`` is shuffled for it."""
+
+    def bit(column: Column) -> Column:
+        return F.xxhash64(column).bitwiseAND(F.lit(KNOWN_BITS - 1))
+
+    def in_word(column: Column) -> Column:
+        return bit(column).bitwiseAND(F.lit(63)).cast("int")
+
+    member = F.col(some.columns[0])
+    known = some.groupBy(F.shiftright(bit(member), 6).alias("__word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), in_word(member))).alias("__known"))
+    met = frame.join(F.broadcast(known), F.shiftright(bit(key), 6) == F.col("__word"), "left")
+    hit = F.call_function("shiftrightunsigned", F.col("__known"), in_word(key)).bitwiseAND(F.lit(1))
+    met = met.withColumn("__known", F.coalesce(hit, F.lit(0)) == 1).drop("__word")
+    return met.filter("__known").drop("__known"), met.filter("not __known").drop("__known")
+
+
+def marked(frame: DataFrame, key: str, some: DataFrame) -> DataFrame:
+    """The rows with ``gone``, whether their key is one of the different ones in ``some``."""
+    maybe, others = apart(frame, F.col(key), some)
+    found = maybe.join(some.toDF("__key"), F.col(key) == F.col("__key"), "left")
+    return found.withColumn("gone", F.col("__key").isNotNull()).drop("__key").union(
+        others.withColumn("gone", F.lit(False)))
 
 
 def lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -46,19 +80,17 @@ def lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = d.select("doc_id", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
     d = d.filter(F.length(F.btrim("line", F.lit(BLANKS))) > 0)
     return d.select("doc_id", "pos", "line", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"),
-                    place_of(documents, id_col, text_col).alias("place"))
+                    place_of(documents, id_col).alias("place"))
 
 
-def place_of(documents: DataFrame, id_col: str, text_col: str) -> Column:
+def place_of(documents: DataFrame, id_col: str) -> Column:
     """A number for ``doc_id`` and ``pos`` that orders lines: a long where the range of
-    ids times the bytes of the longest text leaves room for a line's size beside it (it
-    takes a third of the room in shuffles), else a decimal."""
+    ids leaves room for it (it takes half of the room in shuffles), else a decimal."""
     id_ = F.col(id_col).cast("long")
-    low, high, longest = documents.agg(F.min(id_), F.max(id_), F.max(F.octet_length(text_col))).head()
-    span = (longest or 0) + 2  # a text has at most one line more than bytes
-    if low is None or (high - low + 1) * span * SIZES < 1 << 63:
-        return (F.col("doc_id") - F.lit(low or 0)) * F.lit(span) + F.col("pos").cast("long")
-    return (F.col("doc_id").cast("decimal(20,0)") * (1 << 31) + F.col("pos")).cast("decimal(31,0)")
+    low, high = documents.agg(F.min(id_), F.max(id_)).head()
+    if low is None or (high - low + 1) * SPAN < 1 << 63:
+        return (F.col("doc_id") - F.lit(low or 0)) * F.lit(SPAN) + F.col("pos").cast("long")
+    return (F.col("doc_id").cast("decimal(20,0)") * SPAN + F.col("pos")).cast("decimal(31,0)")
 
 
 def split_line(line: Column) -> Column:
@@ -75,48 +107,70 @@ def word_hashes(line: Column) -> Column:
     return F.array_remove(hashes, F.xxhash64(F.lit("")))
 
 
-def rarity_classes(documents: DataFrame, text_col: str) -> bytes:
-    """For each hash bucket a class from 0 to 127 that grows with the logarithm of how
-    often its words occur. They come to the driver as text, 1024 buckets a row: three
+def rarity_classes(documents: DataFrame, text_col: str) -> np.ndarray:
+    """For each hash bucket a class from 0 to 63 that grows with the logarithm of how
+    often its words occur. They come to the driver as text, 1024 buckets a row: four
     hexadecimal digits for the bucket in its row and two for its class."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     word = documents.select(F.explode(once(split_line(text))).alias("w")).filter("w <> ''")
     counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
-    of_bucket = F.least(F.lit(127), F.floor(2.5 * F.log2(1 + F.col("count"))).cast("int"))
-    code = F.concat(F.lpad(F.hex(F.col("bucket").bitwiseAND(F.lit(1023))), 3, "0"),
+    of_bucket = F.least(F.lit(63), F.floor(2.5 * F.log2(1 + F.col("count"))).cast("int"))
+    code = F.concat(F.lpad(F.hex(F.col("bucket").bitwiseAND(F.lit(1023))), 4, "0"),
                     F.lpad(F.hex(of_bucket), 2, "0"))
     rows = counts.groupBy(F.shiftright("bucket", 10).alias("block")).agg(
         F.array_join(F.collect_list(code), "").alias("codes"))
-    classes = bytearray(BUCKETS)
+    classes = np.zeros(BUCKETS, np.uint8)
     for block, codes in rows.collect():
-        for i in range(0, len(codes), 5):
-            classes[1024 * block + int(codes[i:i + 3], 16)] = int(codes[i + 3:i + 5], 16)
-    return bytes(classes)
+        told = np.frombuffer(bytes.fromhex(codes), np.uint8).reshape(-1, 3).astype(np.int64)
+        classes[1024 * block + 256 * told[:, 0] + told[:, 1]] = told[:, 2]
+    return classes
 
 
-def distinct_lines(found: DataFrame, classes: bytes, percent: int) -> DataFrame:
+def distinct_lines(found: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
     """The different lines, as a written table without their texts: fingerprint, the
-    ``place`` a line first stands at, the number ``n`` of its words and its ``prefix``, as
-    sort keys."""
+    ``place`` a line first stands at, its number of ``copies``, the number ``n`` of its
+    words, their ``bitmap`` and its ``prefix``, as 31 bits of each word's hash.
+
+    A bit of the bitmap says whether an odd number of words fall on it, so two bitmaps
+    differ in no more bits than their lines in words. ``half`` is the bitmap of about half
+    of the words (0 for a line of up to ``LONG``); with it, the two halves tell more."""
+    # an array in the plan, as looking up one of its elements is cheap
+    # (written as JSON without an object for each number, which would fill the driver)
+    digits = np.stack([classes // 10 + 48, classes % 10 + 48, np.full_like(classes, 44)], axis=1)
+    digits[classes < 10, 0] = 32
+    table_of = F.from_json(F.lit(f"[{digits.tobytes()[:-1].decode()}]"), "array<tinyint>")
 
     def key(h: Column) -> Column:
-        at = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
-        of_bucket = F.ascii(F.substring(F.lit(classes), at, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(of_bucket - 64, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+        of_bucket = F.get(table_of, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+        return F.shiftleft(of_bucket, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+
+    none = F.lit(0).cast("long")
+
+    def flipped(bits: Column, k: Column, one: Column) -> Column:
+        return bits.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int")))
+
+    bitmap = F.aggregate("keys", none, lambda bits, k: flipped(bits, k, F.lit(1).cast("long")))
+    half = F.aggregate("keys", none, lambda bits, k: flipped(
+        bits, k, F.shiftright(k, 6).bitwiseAND(F.lit(1).cast("long"))))
 
     d = found.select("h1", "h2", "place", once(F.sort_array(F.transform(
         once(word_hashes(F.col("line"))), key))).alias("keys"))
     n = F.size("keys")
     need = F.floor((n * percent + 99) / 100).cast("int")
-    d = d.select("h1", "h2", "place", n.alias("n"), F.slice("keys", F.lit(1), n - need + 1).alias("prefix"))
+    prefix = F.transform(F.slice("keys", F.lit(1), n - need + 1),
+                         lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    d = d.select("h1", "h2", "place", n.alias("n"), prefix.alias("prefix"),
+                 bitmap.alias("bitmap"), F.when(n > LONG, half).otherwise(none).alias("half"))
     return stored(d.groupBy("h1", "h2").agg(
-        F.min("place").alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix")),
-        "distinct-lines")
+        F.min("place").alias("place"), F.count("*").alias("copies"), F.first("n").alias("n"),
+        F.first("bitmap").alias("bitmap"), F.first("half").alias("half"), F.first("prefix").alias("prefix")), "distinct-lines")
 
 
 def similar(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Those pairs of places (``x``, ``y``) whose lines are similar, as ``x``."""
-    line = found.select("place", "line")
+    pairs = stored(pairs, "line-pairs")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("place"))
+    line, _ = apart(found.select("place", "line"), F.col("place"), wanted)
     both = pairs.select("x", "y").join(line.toDF("y", "line_y"), "y")
     # the same columns on both sides, so that one exchange of the lines serves both
     both = both.join(line.toDF("x", "line_x"), "x")
@@ -132,50 +186,49 @@ def later_lines(distinct: DataFrame, found: DataFrame, percent: int = PERCENT) -
 
     def rows(lines: DataFrame, s: str) -> DataFrame:
         """A row for each word of a prefix; its place there shares a long with the size."""
-        lines = lines.select(F.col("place").alias(s), "n", F.posexplode("prefix").alias("i", "key"))
+        lines = lines.select(F.col("place").alias(s), "n", F.col("bitmap").alias(f"bits_{s}"),
+                             F.col("half").alias(f"half_{s}"), F.posexplode("prefix").alias("i", "key"))
         at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
-        return lines.select("key", s, at.alias(f"at_{s}"))
+        return lines.select("key", s, f"bits_{s}", f"half_{s}", at.alias(f"at_{s}"))
 
     def told(pairs: DataFrame, s: str) -> DataFrame:
         return pairs.withColumns({f"n_{s}": F.shiftright(f"at_{s}", 32).cast("int"),
                                   f"i_{s}": F.col(f"at_{s}").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")})
 
-    def of_like_size(n_x: Column, n_y: Column) -> Column:
-        return (n_x * 100 >= n_y * percent) & (n_y * 100 >= n_x * percent)
+    def alike(n_x: Column, n_y: Column) -> Column:
+        """Whether sizes and bitmaps leave it open that two lines are similar."""
+        one, two = (F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y")) for b in ("bits", "half"))
+        apart_by = F.when(F.least(n_x, n_y) > LONG, F.bit_count(one.bitwiseXOR(two)) + F.bit_count(two)).otherwise(
+            F.bit_count(one))
+        return (n_x * 100 >= n_y * percent) & (n_y * 100 >= n_x * percent) & (
+            (n_x + n_y - apart_by) * (100 + percent) >= (n_x + n_y) * 2 * percent)
 
     def fits(n_x: Column, n_y: Column) -> Column:
         ahead = F.least(n_x - F.col("i_x"), n_y - F.col("i_y"))
         # the first shared word of a similar pair leaves enough words after it
-        return of_like_size(n_x, n_y) & (ahead * (100 + percent) >= (n_x + n_y) * percent)
+        return alike(n_x, n_y) & (ahead * (100 + percent) >= (n_x + n_y) * percent)
 
     # the rarest word, which a pair of copies may have for itself, and the most frequent
     # words of the prefix, which changes made to one copy of many leave alone
     length = F.col("n_x") - F.ceil(F.col("n_x") * percent / 100).cast("int") + 1
     every = told(rows(distinct, "x"), "x").filter(
-        (F.col("i_x") == 0) | (F.col("i_x") >= length - LAST_WORDS)).select("key", "x", "n_x")
-    # place and size as one number, so that the earliest line of a word brings its size
-    short = F.least(F.col("n_x"), F.lit(SIZES - 1))
-    if isinstance(distinct.schema["place"].dataType, T.LongType):
-        sized, n_y = F.col("x") * SIZES + short, F.col("first").bitwiseAND(F.lit(SIZES - 1)).cast("int")
-        y = F.shiftright("first", BITS_OF_SIZE)
-    else:
-        sized = (F.col("x").cast("decimal(31,0)") * SIZES + short).cast("decimal(38,0)")
-        # the remainder of a negative number (an id below 0) is brought above 0
-        n_y = F.pmod(F.col("first"), F.lit(SIZES)).cast("int")
-        y = ((F.col("first") - n_y) / SIZES).cast("decimal(31,0)")
-    earliest = every.withColumn("sized", sized).groupBy("key").agg(
-        F.min("sized").alias("first"), F.count("*").alias("lines")).filter("lines > 1")
-    earliest = earliest.select("key", y.alias("y"), n_y.alias("n_y"))
+        (F.col("i_x") == 0) | (F.col("i_x") >= length - LAST_WORDS)).select(
+            "key", "x", "n_x", "bits_x", "half_x")
+    earliest = every.groupBy("key").agg(
+        F.min("x").alias("y"), *(F.min_by(f"{c}_x", "x").alias(f"{c}_y") for c in ("n", "bits", "half")),
+        F.count("*").alias("lines")).filter("lines > 1").drop("lines")
     stars = every.join(earliest, "key").filter(
-        (F.col("y") < F.col("x")) & ((F.col("n_y") == SIZES - 1) | of_like_size(F.col("n_x"), F.col("n_y"))))
-    first = durable(similar(stars.select("x", "y").distinct(), found, percent))
+        (F.col("y") < F.col("x")) & alike(F.col("n_x"), F.col("n_y")))
+    first = stored(similar(stars.select("x", "y").distinct(), found, percent), "later-lines")
     # both sides are the same rows, so that one exchange of the prefixes serves both; the
     # size of a line that is gone is marked by its sign
-    marked = distinct.join(first, F.col("place") == F.col("x"), "left").select(
-        "place", "prefix", F.when(F.col("x").isNull(), F.col("n")).otherwise(-F.col("n")).alias("n"))
-    pairs = told(told(rows(marked, "x").join(rows(marked, "y"), "key"), "x"), "y").filter(
+    left = marked(distinct.select("place", "prefix", "bitmap", "half", "n"), "place", first).withColumn(
+        "n", F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n")))
+    # the optimizer finds out that y is never null and would filter one side only
+    left = left.filter("place is not null")
+    pairs = told(told(rows(left, "x").join(rows(left, "y"), "key"), "x"), "y").filter(
         (F.col("y") < F.when(F.col("n_x") > 0, F.col("x"))) & fits(F.abs("n_x"), F.abs("n_y")))
-    return first.union(similar(pairs.select("x", "y").distinct(), found, percent))
+    return stored(first.union(similar(pairs.select("x", "y").distinct(), found, percent)), "all-later-lines")
 
 
 def removed_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -185,8 +238,9 @@ def removed_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     found = lines(documents, id_col, text_col)
     distinct = distinct_lines(found, rarity_classes(documents, text_col), percent)
     later = later_lines(distinct, found, percent)
-    first = distinct.select("h1", "h2", F.col("place").alias("first")).join(
-        later.withColumn("later", F.lit(True)), F.col("first") == F.col("x"), "left").drop("x")
+    first = distinct.select("h1", "h2", F.col("place").alias("first"), "copies").join(
+        later.withColumn("later", F.lit(True)), F.col("first") == F.col("x"), "left").filter(
+        F.col("later").isNotNull() | (F.col("copies") > 1)).drop("x", "copies")
     places = found.select("doc_id", "pos", "place", "h1", "h2").join(first, ["h1", "h2"])
     gone = places.filter(F.col("later").isNotNull() | (F.col("place") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("removed"))

@@ -1,5 +1,6 @@
 """Quality rules, line dedup and personal data: brute force, odd rows, no Python in plans."""
 
+import random
 import re
 from collections import Counter
 
@@ -78,6 +79,65 @@ def test_lines_of_ids_far_apart(frame, rows):
     assert {r.doc_id: r.removed for r in found.collect()} == jaccard_removed(far)
 
 
+def test_prefixes_travel_once_and_texts_only_where_pairs_want_them(frame, rows, monkeypatch):
+    """The join of prefixes has one exchange for both sides, and lines meet the pairs'
+    places in a broadcast before their texts are shuffled."""
+    plans, real = [], line_dedup.stored
+
+    def seen(made, name):
+        plans.append((name, plan(made)))
+        return real(made, name)
+
+    session = frame(rows).sparkSession
+    monkeypatch.setattr(line_dedup, "stored", seen)
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.doc_id: r.removed for r in line_dedup.removed_lines(frame(rows)).collect()} == jaccard_removed(rows)
+    finally:
+        session.conf.unset("spark.sql.adaptive.enabled")
+        session.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    pairs = [p for name, p in plans if name == "line-pairs"][-1]
+    assert len(re.findall(r"- Exchange hashpartitioning\(key", pairs)) == 1
+    assert re.search(r"ReusedExchange .*Exchange hashpartitioning\(key", pairs)
+    verified = [p for name, p in plans if name == "later-lines"][-1]
+    assert "BroadcastHashJoin" in verified
+
+
+def words_of(rng, n):
+    return [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("size", [5, 40, 64, 65, 90, 300])
+def test_lines_around_the_bound(frame, size):
+    """Pairs that are just similar and just not, on both sides of the length from which
+    lines have a second bitmap, with an addition, a loss or both."""
+    rng = random.Random(size)
+    given = []
+    for k in range(40):
+        line = words_of(rng, size)
+        lost = rng.randrange(0, size // 4 + 2)
+        new = words_of(rng, rng.randrange(0, size // 4 + 2))
+        other = line[lost:] + new or ["x"]
+        rng.shuffle(other)
+        given += [(2 * k, " ".join(line), "en", "s", 1), (2 * k + 1, " ".join(other), "en", "s", 1)]
+    found = {r.doc_id: r.removed for r in line_dedup.removed_lines(frame(given)).collect()}
+    assert found == jaccard_removed(given) != {}
+
+
+def test_keys_are_told_apart(frame, monkeypatch):
+    """No wanted key is lost, also where the bitmap is full or a key is null."""
+    for bits in (64, line_dedup.KNOWN_BITS):
+        monkeypatch.setattr(line_dedup, "KNOWN_BITS", bits)
+        keys = frame([(i,) for i in [*range(-500, 500), None]], "k long")
+        some = frame([(i,) for i in range(0, 500, 3)], "m long")
+        maybe, others = ({r.k for r in part.collect()} for part in line_dedup.apart(keys, keys["k"], some))
+        assert set(range(0, 500, 3)) <= maybe and not maybe & others and len(maybe | others) == 1001
+        gone = {r.k for r in line_dedup.marked(keys, "k", some).collect() if r.gone}
+        assert gone == set(range(0, 500, 3))
+    assert len(maybe) < 200
+
+
 def test_lines_are_taken_out(frame, rows):
     expected = jaccard_removed(rows)
     kept = {r.doc_id: r for r in line_dedup.remove_lines(frame(rows)).collect()}
